@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partlake.llm import bpe, exact_dedup, html_extract, langid, secrets, sharding, token_records
+from partlake.llm import bpe, decontam, exact_dedup, html_extract, langid, ngram_join, secrets, sharding, token_records
 from partlake.llm.scratch import Scratch
 
 
@@ -51,6 +51,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-records")
     path = scratch.new_path("records")
@@ -109,14 +118,55 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_html_extraction": op7_html_extraction,
+    "op8_ngram_join": op8_ngram_join,
     "op9_token_records": op9_token_records,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
+    "op4_decontamination": r"""
+        WITH w AS (
+          SELECT false AS is_item, doc_id AS id,
+                 list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+          UNION ALL
+          SELECT true, item_id,
+                 list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
+        s AS (
+          SELECT is_item, id, unnest(list_distinct(CASE
+                   WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS part
+          FROM w),
+        n AS (SELECT id, count(*) AS n_item FROM s WHERE is_item GROUP BY id),
+        m AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+              FROM s d JOIN s i USING (part) WHERE NOT d.is_item AND i.is_item GROUP BY ALL)
+        SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+        FROM m JOIN n ON n.id = m.item_id WHERE n_shared * 5 >= n_item * 4
+    """,
+    "op8_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        l AS (
+          SELECT doc_id, list_sort(list_distinct(CASE
+                   WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))
+                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS parts
+          FROM w),
+        n AS (SELECT doc_id, len(parts) AS n FROM l),
+        s AS (SELECT doc_id, unnest(parts) AS part FROM l),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+              FROM s a JOIN s b ON a.part = b.part AND a.doc_id <> b.doc_id GROUP BY ALL),
+        e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * o >= 85 * (x.n + y.n - o)),
+        r(doc_id, other) AS (
+          SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+        SELECT r.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id
+        FROM r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS len,
