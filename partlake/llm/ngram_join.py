@@ -243,27 +243,28 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     own = F.col("n") - F.size("cols")  # columns of this row alone stand first in its order
     first = F.col("n") - F.expr(f"({num} * n + {den - 1}) DIV {den}") + 1
     prefix = F.slice("cols", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
-    entries = alive.select("key", "n", (F.size("cols") / F.col("n")).alias("share"), F.explode(prefix).alias("col"))
-    met = entries.groupBy("col").agg(F.count("*").alias("c")).where("c > 1").select("col", "c")
-    entries = scratch.write(entries.join(met, "col"), "prefixes")
+    entries = alive.select("key", "n", F.size("cols").cast("long").alias("s"), F.explode(prefix).alias("col"))
+    entries = scratch.write(_can_link(entries, num, den), "prefixes")
     labels: DataFrame | None = None
     tested: list[DataFrame] = []
     for r in range(LEADER_ROUNDS + 1):
         at = _labelled(entries, labels)
         ends = at.groupBy("col").agg(
-            F.max_by(F.struct("key", "n", "comp"), F.struct("share", "key") if r == 0 else F.struct(F.xxhash64("key", F.lit(r)), "key")).alias("lead"),
+            F.max_by(F.struct("key", "n", "s", "comp"), F.struct(F.col("s") / F.col("n"), "key") if r == 0 else F.struct(F.xxhash64("key", F.lit(r)), "key")).alias("lead"),
             F.min("comp").alias("lo"),
             F.max("comp").alias("hi"),
         ).where("lo <> hi")
-        fits = f"least(n, m) * {den} >= greatest(n, m) * {num}"
+        # an overlap is no more than either row's shared columns
+        fits = f"least(n, m) * {den} >= greatest(n, m) * {num} AND least(s, t) * {num + den} >= (n + m) * {num}"
         if r < LEADER_ROUNDS:
             pairs = (
                 at.join(ends.select("col", "lead"), "col")
                 .where("comp <> lead.comp")
-                .select("key", "n", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"))
+                .select("key", "n", "s", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.s").alias("t"))
             )
         else:
-            pairs = _open_pairs(at.join(ends.select("col"), "col", "left_semi"))
+            open_ = at.join(ends.select("col"), "col", "left_semi")
+            pairs = _open_pairs(_can_link(open_.drop("c"), num, den), num, den)
         pairs = pairs.where(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
@@ -300,15 +301,28 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
 
 
-def _open_pairs(at: DataFrame, chunk: int = 512) -> DataFrame:
-    """All pairs in a column that are in different components, by pairs of bounded chunks of them."""
+def _can_link(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Entries without those whose row cannot link with the column's smallest row, so with none in it; columns of one go."""
+    cols = entries.groupBy("col").agg(F.min("n").alias("least_n"), F.count("*").alias("c")).where("c > 1")
+    kept = entries.join(cols, "col").where(f"s * {num + den} >= (n + least_n) * {num}").drop("least_n", "c")
+    cols = kept.groupBy("col").agg(F.count("*").alias("c")).where("c > 1")
+    return kept.join(cols, "col")
+
+
+def _open_pairs(at: DataFrame, num: int, den: int, chunk: int = 512) -> DataFrame:
+    """All pairs in a column that are in different components and may link, by pairs of bounded chunks of them."""
     part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.expr(f"c DIV {chunk}")))
-    chunks = at.groupBy("col", "comp", part.alias("part")).agg(F.collect_list(F.struct("key", "n")).alias("members"))
+    chunks = at.groupBy("col", "comp", part.alias("part")).agg(F.collect_list(F.struct("key", "n", "s")).alias("members"))
     left = chunks.select("col", "comp", F.col("members").alias("x"))
     right = chunks.select("col", F.col("comp").alias("comp_2"), F.col("members").alias("y"))
     met = left.join(right, "col").where("comp < comp_2")
-    return (
-        met.select("y", F.explode("x").alias("x"))
-        .select("x", F.explode("y").alias("y"))
-        .select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("y.key").alias("other"), F.col("y.n").alias("m"))
-    )
+    one = met.select("y", F.explode("x").alias("x"))
+
+    def may(y):
+        n, m = F.col("x.n"), y["n"]
+        return (F.least(F.col("x.s"), y["s"]) * (num + den) >= (n + m) * num) & (F.least(n, m) * den >= F.greatest(n, m) * num)
+
+    return one.select("x", F.explode(F.filter("y", may)).alias("y")).select(
+        F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.s").alias("s"),
+        F.col("y.key").alias("other"), F.col("y.n").alias("m"), F.col("y.s").alias("t"),
+    )
