@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partlake.llm.rows import drop_keys
 from partlake.llm.scratch import Scratch
 
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -139,7 +140,4 @@ def _result_schema(docs: DataFrame, items: DataFrame, id_col: str, item_col: str
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns."""
     leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, **how)
-    bad = leaks.select(F.col(id_col).alias("__id")).distinct()
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")
+    return drop_keys(docs, leaks, {id_col: id_col}, Scratch(docs.sparkSession, "decontam"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partlake.llm.rows import drop_keys
 from partlake.llm.scratch import Scratch
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -109,10 +110,13 @@ def group_copies(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; of rows equal in id and normalised text the longest stays."""
-    kept = group_copies(docs, id_col, text_col, counters).where("kept")
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
+    said = group_copies(docs, id_col, text_col, counters)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("__key", F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256))
-    joined = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")))
-    first = Window.partitionBy(id_col, "__key").orderBy(F.char_length(text).desc())
-    return joined.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*docs.columns)
+    digest = F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)
+    gone = said.where(~F.col(id_col).eqNullSafe(F.col("keep_id")))
+    keyed = docs.withColumn("__key", digest)
+    left = drop_keys(keyed, gone, {id_col: id_col, "__key": "text_sha256"}, Scratch(docs.sparkSession, "exact-dedup"))
+    if said.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1).count():  # ids that repeat
+        first = Window.partitionBy(id_col, "__key").orderBy(F.char_length(text).desc())
+        left = left.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
+    return left.select(*docs.columns)

@@ -148,26 +148,30 @@ class Profiles:
 
 
 def predict_languages(
-    docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = PROFILE
+    docs: DataFrame,
+    profiles: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = PROFILE,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, ``lang_pred``, ``score``) for every row, from the text alone.
+    """(id, ``keep`` columns, ``lang_pred``, ``score``) for every row, from the text alone.
 
     Null texts and texts without a letter get ``und`` and 0. Ties go to the language
-    that sorts first. Rows are independent: repeated ids stay, other columns are not
+    that sorts first. Rows are independent: repeated ids stay, columns not named are not
     read; without any profile every row is ``und``. Whole texts count, however long.
     """
     model = Profiles([tuple(r) for r in profiles.select("lang", "rank", "code").collect()], size)
-    kind = docs.schema[id_col].dataType.simpleString()
+    cols = [id_col, *keep]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [model.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())],
-                names=[id_col, "lang_pred", "score"],
-            )
+            said = [model.predict(t) for t in b.column(0).to_pylist()]
+            more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):
