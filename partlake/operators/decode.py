@@ -111,3 +111,23 @@ def key_of(col: str) -> Column:
 def part_number(sheet: str, cls: str, size: str, insert: str, contact, key: str) -> Column:
     """Parts back to a normalized number."""
     return F.concat(F.lit("D38999/"), F.col(sheet), F.col(cls), F.col(size), F.col(insert), contact, F.col(key))
+
+
+def decode_scored(df: DataFrame, col: str, known_inserts: list[str]) -> DataFrame:
+    """Add ``pin``, ``key_given`` and ``score`` of the better of two readings: last letter as key, or as contact with key N.
+
+    10 for an insert number that is known, 2 for a given key or 1 for the default. Ties go
+    to the first reading; neither fits: null.
+    """
+    df = df.withColumn("__pn", compact(col))
+    head = r"^D38999/(\d{2})(AA|AB|[A-Z])([A-HJ])(\d{1,3})"
+    readings = []
+    for given, tail in ((True, r"([A-Z])([A-Z])$"), (False, r"([A-Z])$")):
+        g = F.split(F.regexp_replace("__pn", head + tail, "$1,$2,$3,$4,$5" + (",$6" if given else ",N")), ",")
+        score = F.when(F.get(g, F.lit(3)).isin(known_inserts), 10).otherwise(0) + F.lit(2 if given else 1)
+        pin = F.concat(F.lit("D38999/"), F.array_join(g, ""))
+        readings.append(F.when(F.col("__pn").rlike(head + tail), F.struct(pin.alias("pin"), F.lit(given).alias("key_given"), score.alias("score"))))
+    a, b = readings
+    best = F.when(a.isNull() | (b["score"] > a["score"]), F.coalesce(b, a)).otherwise(a)
+    df = df.withColumn("__best", best)
+    return df.select(*[c for c in df.columns if not c.startswith("__")], "__best.pin", "__best.key_given", "__best.score")

@@ -79,8 +79,13 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each raw number parsed once."""
-    return decode.parse_strict(part_feed(spark, sf_dir).groupBy("raw_pn").agg(F.count("*").alias("n_lines")))
+    """Each raw number parsed once.
+
+    The number comes out of an aggregate, not of the grouping key: else the optimizer would
+    copy the whole parse into a filter below the shuffle, once for each test of a part.
+    """
+    once = part_feed(spark, sf_dir).groupBy("raw_pn").agg(F.max("raw_pn").alias("pn"), F.count("*").alias("n_lines"))
+    return decode.parse_strict(once.select(F.col("pn").alias("raw_pn"), "n_lines"))
 
 
 # --- decoding --------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,12 +45,17 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_array_document(df: DataFrame, path: str, order: list[str], rows_per_file: int, array_key: str) -> None:
-    """Sharded JSON documents ``{array_key: [...]}`` in order, ``rows_per_file`` rows each, one document a line."""
-    w = Window.orderBy(*order)
-    numbered = df.select(F.struct(*df.columns).alias("r"), (F.row_number().over(w) - 1).alias("n"))
-    shards = numbered.groupBy(F.expr(f"n DIV {rows_per_file}").alias("shard")).agg(F.array_sort(F.collect_list(F.struct("n", "r"))).alias("x"))
+    """Sharded JSON documents ``{array_key: [...]}`` in order, about ``rows_per_file`` rows each.
+
+    A range partition holds consecutive rows and becomes one document, so no task sees
+    more than a shard.
+    """
+    n = max(1, -(-df.count() // rows_per_file))
+    row = F.struct(*df.columns)
+    ranged = df.repartitionByRange(n, *order).select(F.spark_partition_id().alias("shard"), F.struct(*order).alias("o"), row.alias("r"))
+    shards = ranged.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("o", "r"))).alias("x"))
     body = shards.select("shard", F.transform("x", lambda e: e["r"]).alias(array_key))
-    body.repartitionByRange("shard").sortWithinPartitions("shard").drop("shard").write.mode("overwrite").json(path)
+    body.repartitionByRange(n, "shard").drop("shard").write.mode("overwrite").json(path)
 
 
 def export_tables(tables: dict[str, DataFrame], path: str) -> None:
