@@ -31,3 +31,37 @@ def title(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> Data
 def tag_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     tags = F.regexp_extract_all(html, F.lit(r"<([a-z][a-z0-9]*)[ >]"), 1)
     return pages.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def grid_rows(df: DataFrame, html: str, fields: list[str]) -> DataFrame:
+    """(row, one column a field): a grid whose cells are ``<span id="..._ctl<row>_lbl<Field>">value</span>``, pivoted; rows without any field go."""
+    pattern = r'<span id="[^"]*_ctl(\d+)_lbl([A-Za-z]+)">([^<]*)</span>'
+    cells = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(pattern), i).alias(n) for i, n in ((1, "row"), (2, "field"), (3, "value"))])
+    flat = df.select(F.explode(cells).alias("c")).select(F.col("c.row").cast("long").alias("row"), "c.field", strip_tags(F.col("c.value")).alias("value"))
+    wide = flat.groupBy("row").pivot("field", fields).agg(F.max("value"))
+    return wide.where(F.coalesce(*[F.nullif(F.col(f), F.lit("")) for f in fields]).isNotNull())
+
+
+#: What a title says, first needle in order wins.
+MOUNTS = [
+    ("wall-mount", "wall"), ("box-mount", "box"), ("jam-nut", "jam nut"), ("solder-mount", "solder"), ("weld-mount", "weld"), ("in-line", "in-line"), ("straight plug", "plug"),
+]
+
+
+def classify_titles(df: DataFrame, col: str) -> DataFrame:
+    """Add ``sheet_no``, ``series``, ``component``, ``mount`` and ``draft`` from a document title."""
+    t = F.lower(F.col(col))
+    mount = F.lit("unknown")
+    for needle, name in reversed(MOUNTS):
+        mount = F.when(t.contains(needle), name).otherwise(mount)
+    series = F.when(t.rlike(r"series iv\b"), "IV").when(t.rlike(r"series iii\b"), "III").when(t.rlike(r"series ii\b"), "II").when(t.rlike(r"series i\b"), "I")
+    component = F.when(t.contains("plug"), "plug").when(t.contains("receptacle"), "receptacle").otherwise("other")
+    return df.withColumns(
+        {
+            "sheet_no": F.nullif(F.regexp_extract(col, r"/(\d+)", 1), F.lit("")),
+            "series": series,
+            "component": component,
+            "mount": mount,
+            "draft": t.contains("initial draft"),
+        }
+    )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 8, pattern: str = "*") -> DataFrame:
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
