@@ -10,7 +10,7 @@ from partlake.operators import catalog, corpus, decode, selection, validate
 from partlake.plans.queries import _LIST, _MATES, _STATUS, ORACLE, PARSED, _status, current_capacity, distinct_parsed, query, table
 from partlake.sources.feed import FEED, part_feed
 
-_STOCK = "SELECT p_partkey AS part, p_size % 11 AS h0, p_size % 7 AS h1, p_size % 5 AS h2, p_partkey % 3 AS h3 FROM part WHERE p_partkey % 50 = 0"
+_STOCK = "SELECT p_size AS part, count(*) % 11 AS h0, sum(p_partkey) % 7 AS h1, count(DISTINCT p_brand) % 5 AS h2, count(DISTINCT p_type) % 4 AS h3 FROM part GROUP BY p_size"
 _NEED = """SELECT l_suppkey AS need, count(*) FILTER (WHERE l_quantity <= 5)::BIGINT % 6 AS n0, count(*) FILTER (WHERE l_quantity > 5 AND l_quantity <= 8)::BIGINT % 4 AS n1,
   count(*) FILTER (WHERE l_quantity > 8 AND l_quantity <= 13)::BIGINT % 4 AS n2, count(*) FILTER (WHERE l_quantity > 13 AND l_quantity <= 16)::BIGINT % 3 AS n3 FROM lineitem GROUP BY l_suppkey"""
 
@@ -29,9 +29,10 @@ def _fit_sql() -> str:
 
 @query(_fit_sql())
 def suggest_arrangement(spark, sf_dir):
-    """Each need against a stock list: every pair is wanted, and the stock list is a fixed few dozen rows."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
-    stock = p.select(F.col("p_partkey").alias("part"), *[(F.col(c) % m).alias(f"h{i}") for i, (c, m) in enumerate([("p_size", 11), ("p_size", 7), ("p_size", 5), ("p_partkey", 3)])])
+    """Each need against every arrangement of the catalog: all pairs are wanted, and arrangements are as few as sizes."""
+    stock = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("part")).agg(
+        (F.count("*") % 11).alias("h0"), (F.sum("p_partkey") % 7).alias("h1"), (F.count_distinct("p_brand") % 5).alias("h2"), (F.count_distinct("p_type") % 4).alias("h3")
+    )
     q = F.col("l_quantity")
     bands = [(None, 5, 6), (5, 8, 4), (8, 13, 4), (13, 16, 3)]
     counts = [(F.count_if((q <= hi) if lo is None else (q > lo) & (q <= hi)) % m).alias(f"n{i}") for i, (lo, hi, m) in enumerate(bands)]
@@ -185,12 +186,12 @@ def dedupe_display(spark, sf_dir):
 
 
 @query("""
-  WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 40 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0)
+  WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal < -950), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 0)
   SELECT coalesce(a.k, b.k) AS nation, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
 """)
 def symmetric_difference(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("nation"))
+    a = table(spark, sf_dir, "customer").where("c_acctbal < -950").select(F.col("c_nationkey").alias("nation"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("nation"))
     return corpus.snapshot_diff(a, b, "nation").where("change <> 'kept'").withColumnRenamed("change", "side")
 
 

@@ -612,11 +612,11 @@ def natural_sort_key(spark, sf_dir):
 
 
 @query(r"""
-  WITH t AS (SELECT doc_id, substr(text, 1, 80) AS t FROM documents)
+  WITH t AS (SELECT doc_id, text AS t FROM documents)
   SELECT doc_id, CASE WHEN contains(t, '"') OR contains(t, ',') OR contains(t, chr(10)) OR contains(t, chr(13)) THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS cell FROM t
 """)
 def csv_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.escape_csv(F.substring("text", 1, 80)).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.escape_csv("text").alias("cell"))
 
 
 @query("""
