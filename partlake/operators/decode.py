@@ -39,7 +39,7 @@ def parse_strict(df: DataFrame, col: str = "raw_pn") -> DataFrame:
             "size_number": F.try_element_at(_map(R.SHELL_SIZES), F.col("size")),
             "size_padded": F.lpad(F.try_element_at(_map(R.SHELL_SIZES), F.col("size")), 2, "0"),
             "normalized": F.concat(F.lit("D38999/"), "sheet", "class", "size", "insert", "contact", "key"),
-            "error": F.when(F.col("__sheet") == "", "not a pin")
+            "error": F.when(F.coalesce("__sheet", F.lit("")) == "", "not a pin")
             .when(~F.col("__sheet").isin([s for s, _ in SERIES]), "unsupported sheet")
             .when(F.col("__g").isNull(), "class not parsed"),
         }
