@@ -27,18 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlake.llm.anchors import STRETCH, Hasher, find_anchors
+from partlake.llm.batches import slices_by_bytes
 from partlake.llm.scratch import Scratch
-from partlake.llm.shingles import pieces
 
 LENGTH, GRAM = 200, 96
+#: Bytes hashed at once: the arrays of a piece stay within a few megabytes.
+PIECE = 1 << 18
 #: Bytes up to which a per-document table is broadcast to the documents; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
 
-def _buffers(texts: list[str], length: int) -> Iterator[tuple[Hasher, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hasher, rows, (start, end) in the buffer, offset in the document) for stretches of the texts."""
-    for i, j in pieces(texts):
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
+def _buffers(batch: pa.RecordBatch, col: int, length: int) -> Iterator[tuple[Hasher, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hasher, rows, (start, end) in the buffer, offset in the document) for stretches of a batch's texts."""
+    i = 0
+    for part in slices_by_bytes(batch, col, PIECE):
+        raw = part.column(col).cast(pa.large_binary()).to_pylist()
         held: list[bytes] = []
         rows: list[int] = []
         offs: list[int] = []
@@ -55,6 +58,7 @@ def _buffers(texts: list[str], length: int) -> Iterator[tuple[Hasher, np.ndarray
             n = np.array([len(b) for b in held], np.int64)
             start = np.cumsum(n + 1) - n - 1
             yield Hasher(b"\0".join(held)), np.array(rows), np.stack([start, start + n], axis=1), np.array(offs)
+        i += part.num_rows
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,7 +71,7 @@ def _keys(slim: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, _, bounds, _ in _buffers(b.column(0).to_pylist(), length):
+            for h, _, bounds, _ in _buffers(b, 0, length):
                 key, n = np.unique(find_anchors(h, bounds, length, gram)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
 
@@ -79,7 +83,7 @@ def _surroundings(slim: DataFrame, length: int, gram: int, id_kind: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for h, rows, bounds, offs in _buffers(b.column(2).to_pylist(), length):
+            for h, rows, bounds, offs in _buffers(b, 2, length):
                 own, at, key, lo, hi = find_anchors(h, bounds, length, gram)
                 around = h.substrings(lo, hi + length) + (at - lo).astype(np.uint64)
                 shift = offs[own] - bounds[own, 0]
@@ -104,9 +108,9 @@ def _strings(with_spans: DataFrame, length: int, id_kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = b.column(2).to_pylist(), b.column(3)
-            for k, t in enumerate(texts):
-                h = Hasher(t.encode("utf-8", "surrogatepass"))
+            spans = b.column(3)
+            for k in range(b.num_rows):
+                h = Hasher(b.column(2)[k].as_py().encode("utf-8", "surrogatepass"))
                 s = spans[k].values
                 lo, hi = s.field("lo").to_numpy().astype(np.int64), s.field("hi").to_numpy().astype(np.int64)
                 one = s.field("one").to_numpy(zero_copy_only=False)
@@ -189,9 +193,11 @@ def repeated_spans(
     for r in repeats[1:]:
         known = known.unionByName(r)
 
-    found = _surroundings(slim, length, gram, kind).join(known.distinct(), "key", "left_semi")
-    found = scratch.write(found, "surroundings")
+    # a plain sort-merge join of two tables: adaptive execution splits a prefix that very many places share
+    known = scratch.write(known.distinct(), "known")
     scratch.drop(*repeats)
+    found = scratch.write(_surroundings(slim, length, gram, kind).join(known, "key", "left_semi"), "surroundings")
+    scratch.drop(known)
     kinds = scratch.write(
         found.groupBy("key", "around").agg(F.count("*").alias("c"), F.min(F.struct("id", "row", "lo", "hi")).alias("at")), "kinds"
     )
@@ -277,7 +283,7 @@ def remove_repeats(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices_by_bytes(batch, 1)):
             size, gone, n, kept = [], [], [], []
             for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = t.encode("utf-8", "surrogatepass")
