@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partlake.llm.components import connected_components
@@ -245,56 +245,99 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     prefix = F.slice("cols", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
     entries = alive.select("key", "n", F.size("cols").cast("long").alias("s"), F.explode(prefix).alias("col"))
     entries = scratch.write(_can_link(entries, num, den), "prefixes")
-    labels: DataFrame | None = None
-    tested: list[DataFrame] = []
-    for r in range(LEADER_ROUNDS + 1):
+
+    # every row meets the leader of each of its columns; what they share bounds what others can share with the row
+    heads = entries.groupBy("col").agg(F.max_by("key", F.struct(F.col("s") / F.col("n"), "key")).alias("lead"))
+    entries = entries.join(heads, "col")
+    pairs = entries.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).distinct()
+    tested = [scratch.write(_products(pairs, alive, num, den), "products")]
+    labels = _joined_labels(None, tested[0], scratch)
+    met = tested[0].select(F.col("a").alias("key"), F.col("b").alias("lead"), "overlap")
+    home = met.groupBy("key").agg(F.max_by(F.struct("lead", "overlap"), F.struct("overlap", "lead")).alias("home"))
+    entries = entries.join(met, ["key", "lead"], "left").join(home, "key", "left")
+    entries = entries.select(
+        "key", "n", "s", "col", "c",
+        F.coalesce("overlap", "s").alias("o"),
+        F.coalesce("home.lead", "key").alias("home"),
+        F.coalesce("home.overlap", "s").alias("h"),
+    )
+    entries = scratch.write(entries, "entries")
+
+    for r in range(1, LEADER_ROUNDS + 1):
         at = _labelled(entries, labels)
         ends = at.groupBy("col").agg(
-            F.max_by(F.struct("key", "n", "s", "comp"), F.struct(F.col("s") / F.col("n"), "key") if r == 0 else F.struct(F.xxhash64("key", F.lit(r)), "key")).alias("lead"),
+            F.max_by(F.struct(*_MEMBER, "comp"), F.struct(F.xxhash64("key", F.lit(r)), "key")).alias("y"),
             F.min("comp").alias("lo"),
             F.max("comp").alias("hi"),
+            F.min("n").alias("least_n"),
+            F.max(F.col("s") - F.col("o")).alias("rest"),
         ).where("lo <> hi")
-        # an overlap is no more than either row's shared columns
-        fits = f"least(n, m) * {den} >= greatest(n, m) * {num} AND least(s, t) * {num + den} >= (n + m) * {num}"
+        met = at.join(ends, "col").where(_open_entry(num, den))
         if r < LEADER_ROUNDS:
-            pairs = (
-                at.join(ends.select("col", "lead"), "col")
-                .where("comp <> lead.comp")
-                .select("key", "n", "s", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.s").alias("t"))
-            )
+            pairs = met.where("comp <> y.comp").select(F.struct(*_MEMBER).alias("x"), "y").where(_may_link(F.col("x"), F.col("y"), num, den))
         else:
-            open_ = at.join(ends.select("col"), "col", "left_semi")
-            pairs = _open_pairs(_can_link(open_.drop("c"), num, den), num, den)
-        pairs = pairs.where(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+            pairs = _open_pairs(met.select("col", "comp", "c", *_MEMBER), num, den)
+        pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         for t in tested:
-            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        x = alive.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a"))
-        y = alive.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b"))
-        overlap = F.size(F.array_intersect("cols_a", "cols_b"))
-        seen = pairs.join(x, "a").join(y, "b").select("a", "b", (den * overlap >= num * (F.col("n_a") + F.col("n_b") - overlap)).alias("linked"))
-        seen = scratch.write(seen, "products")
-        tested.append(seen)
-        n_new = seen.where("linked").limit(1).count()
-        if n_new:
-            links = seen.where("linked").select("a", "b")
-            if labels is None:
-                labels = connected_components(links, scratch)
-            else:
-                known = labels
-                ends_of = links.join(known.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a", "left").join(
-                    known.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b", "left"
-                )
-                between = ends_of.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-                roots = connected_components(between, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-                moved = known.join(roots, "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
-                fresh = roots.join(known.select(F.col("comp")).distinct(), "comp", "left_anti").select(F.col("comp").alias("key"), F.col("root").alias("comp"))
-                labels = moved.unionByName(fresh)
-            labels = scratch.write(labels.select(F.col("node").alias("key"), "comp") if "node" in labels.columns else labels, "components")
+            either = t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = pairs.join(either, ["a", "b"], "left_anti")
+        tested.append(scratch.write(_products(pairs, alive, num, den), "products"))
+        labels = _joined_labels(labels, tested[-1], scratch)
     if labels is None:
         return alive.sparkSession.createDataFrame([], "key long, comp long")
     return labels
 
 
+_MEMBER = ("key", "n", "s", "o", "home", "h")
+
+
+def _products(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, overlap, linked): the dot products of the pairs' sparse rows."""
+    x = alive.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a"))
+    y = alive.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b"))
+    both = pairs.join(x, "a").join(y, "b")
+    both = both.withColumn("overlap", F.size(F.array_intersect("cols_a", "cols_b")).cast("long"))
+    return both.select("a", "b", "overlap", (den * F.col("overlap") >= num * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked"))
+
+
+def _joined_labels(labels: DataFrame | None, seen: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Components after the links in ``seen``."""
+    links = seen.where("linked").select("a", "b")
+    if not links.limit(1).count():
+        return labels
+    if labels is None:
+        return scratch.write(connected_components(links, scratch).select(F.col("node").alias("key"), "comp"), "components")
+    ends = links.join(labels.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a", "left").join(
+        labels.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b", "left"
+    )
+    between = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    if not between.limit(1).count():
+        return labels
+    roots = connected_components(between, scratch).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    moved = labels.join(roots, "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
+    fresh = roots.join(labels.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("key"), F.col("root").alias("comp"))
+    return scratch.write(moved.unionByName(fresh), "components")
+
+
+def _open_entry(num: int, den: int) -> str:
+    """Whether a row can still link with any row of its column: it shares at most ``o`` columns by way of the leader, and ``rest`` beside it."""
+    return f"(o + least(s - o, rest)) * {num + den} >= (n + least_n) * {num}"
+
+
+def _may_link(x: Column, y: Column, num: int, den: int) -> Column:
+    """Upper bounds of an overlap, by size, by shared columns, and by what both share with the column's or a common leader."""
+    n, m = x["n"], y["n"]
+    need = (n + m) * num
+    by_column = F.least(x["o"], y["o"]) + F.least(x["s"] - x["o"], y["s"] - y["o"])
+    by_home = F.least(x["h"], y["h"]) + F.least(x["s"] - x["h"], y["s"] - y["h"])
+    return (
+        (F.least(n, m) * den >= F.greatest(n, m) * num)
+        & (F.least(x["s"], y["s"]) * (num + den) >= need)
+        & (by_column * (num + den) >= need)
+        & ((x["home"] != y["home"]) | (by_home * (num + den) >= need))
+    )
+
+
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return entries.withColumn("comp", F.col("key"))
@@ -310,19 +353,14 @@ def _can_link(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _open_pairs(at: DataFrame, num: int, den: int, chunk: int = 512) -> DataFrame:
-    """All pairs in a column that are in different components and may link, by pairs of bounded chunks of them."""
+    """(x, y): all pairs in a column that are in different components and may link, by pairs of bounded chunks of them."""
     part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.expr(f"c DIV {chunk}")))
-    chunks = at.groupBy("col", "comp", part.alias("part")).agg(F.collect_list(F.struct("key", "n", "s")).alias("members"))
-    left = chunks.select("col", "comp", F.col("members").alias("x"))
-    right = chunks.select("col", F.col("comp").alias("comp_2"), F.col("members").alias("y"))
-    met = left.join(right, "col").where("comp < comp_2")
-    one = met.select("y", F.explode("x").alias("x"))
-
-    def may(y):
-        n, m = F.col("x.n"), y["n"]
-        return (F.least(F.col("x.s"), y["s"]) * (num + den) >= (n + m) * num) & (F.least(n, m) * den >= F.greatest(n, m) * num)
-
-    return one.select("x", F.explode(F.filter("y", may)).alias("y")).select(
-        F.col("x.key").alias("key"), F.col("x.n").alias("n"), F.col("x.s").alias("s"),
-        F.col("y.key").alias("other"), F.col("y.n").alias("m"), F.col("y.s").alias("t"),
-    )
+    chunks = at.groupBy("col", part.alias("part")).agg(F.collect_list(F.struct(*_MEMBER, "comp")).alias("xs"))
+    right = chunks.select("col", F.col("part").alias("part_2"), F.col("xs").alias("ys"))
+    met = chunks.join(right, "col").where("part <= part_2")
+
+    def partners(x: Column) -> Column:
+        fits = F.filter("ys", lambda y: (x["comp"] != y["comp"]) & _may_link(x, y, num, den))
+        return F.transform(fits, lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    return met.select(F.explode(F.flatten(F.transform("xs", partners))).alias("p")).select("p.x", "p.y")
