@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partlake.llm.batches import slices_by_bytes
 from partlake.llm.components import connected_components
 from partlake.llm.scratch import Scratch
-from partlake.llm.shingles import pieces, shingle_sets
+from partlake.llm.shingles import shingle_sets
 
 #: Columns kept out of the blocks because a large share of all documents has them; and copies groups emitted once.
 HEAVY_COLUMNS, HEAVY_GROUPS = 4096, 1024
@@ -35,6 +36,8 @@ HEAVY_SHARE = 0.01
 #: Incidences in a block.
 BLOCK_CELLS = 2_000_000
 LEADER_ROUNDS = 4
+#: Bytes of text hashed at once.
+PIECE = 1 << 20
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -43,15 +46,15 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in pieces(texts):
-                s = shingle_sets(texts[i:j], k)
+            for part in slices_by_bytes(b, 1, PIECE):
+                rows = part.num_rows
+                s = shingle_sets(part.column(1).to_pylist(), k)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(s.key.view(np.int64)), pa.array(s.size), pa.array([False] * (j - i))],
+                    [part.column(0), pa.array(s.key.view(np.int64)), pa.array(s.size), pa.array([False] * rows)],
                     names=["id", "key", "n", "column"],
                 )
                 cols, hits = np.unique(s.flat, return_counts=True)
-                often = hits > max(1, HEAVY_SHARE * (j - i))
+                often = hits > max(1, HEAVY_SHARE * rows)
                 m = int(often.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -72,18 +75,18 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in pieces(texts):
-                s = shingle_sets(texts[i:j], k)
+            for part in slices_by_bytes(b, 1, PIECE):
+                ids, rows = part.column(0).to_pylist(), part.num_rows
+                s = shingle_sets(part.column(1).to_pylist(), k)
                 keys = s.key.view(np.int64)
                 # a set is emitted once a piece; one of a huge group by its first document alone
-                first = np.zeros(j - i, bool)
+                first = np.zeros(rows, bool)
                 first[np.unique(keys, return_index=True)[1]] = True
                 if heavy_sets:
                     for x, key in enumerate(keys.tolist()):
-                        if key in heavy_sets and heavy_sets[key] != ids[i + x]:
+                        if key in heavy_sets and heavy_sets[key] != ids[x]:
                             first[x] = False
-                own = np.repeat(np.arange(j - i), s.size)
+                own = np.repeat(np.arange(rows), s.size)
                 mine = first[own]
                 flat, own = s.flat[mine], own[mine]
                 hot = np.isin(flat, order) if len(order) else np.zeros(len(flat), bool)
@@ -137,8 +140,12 @@ def _shared_cells(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if len(rows):
         cells = [c.as_buffer() for c in t.column("cells").take(pa.array(rows))]
         m = np.array([c.size for c in cells], np.int64) // 6
-        words = np.frombuffer(b"".join(cells), "<u2").reshape(-1, 3).astype(np.uint64)
-        col = words[:, 0] | (words[:, 1] << np.uint64(16)) | (words[:, 2] << np.uint64(32))
+        words = np.frombuffer(b"".join(cells), "<u2").reshape(-1, 3)
+        col = words[:, 2].astype(np.uint64)
+        for w in (1, 0):
+            col <<= np.uint64(16)
+            col |= words[:, w]
+        del cells, words
         _, where, df = np.unique(col, return_inverse=True, return_counts=True)
         df = df[where]
         own = np.repeat(np.arange(len(rows)), m)

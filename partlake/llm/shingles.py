@@ -7,7 +7,6 @@ sequence as the only member, one without words has none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -107,14 +106,3 @@ def shingle_sets(texts: list[str | None], k: int) -> Sets:
         key[some] = np.add.reduceat(mix(flat + _U(0x632BE59BD9B4E019)), (np.cumsum(size) - size)[some])
     return Sets(flat, size.astype(np.int64), mix(key + size.astype(np.uint64)))
 
-
-def pieces(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` characters."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= size:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
