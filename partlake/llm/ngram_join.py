@@ -250,7 +250,7 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     own = F.col("n") - F.size("cols")  # columns of this row alone stand first in its order
     first = F.col("n") - F.expr(f"({num} * n + {den - 1}) DIV {den}") + 1
     prefix = F.slice("cols", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
-    entries = alive.select("key", "n", F.size("cols").cast("long").alias("s"), F.explode(prefix).alias("col"))
+    entries = alive.select("key", "n", F.size("cols").cast("long").alias("s"), F.posexplode(prefix).alias("pos", "col"))
     entries = scratch.write(_can_link(entries, num, den), "prefixes")
 
     # every row meets the leader of each of its columns; what they share bounds what others can share with the row
@@ -263,7 +263,7 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     home = met.groupBy("key").agg(F.max_by(F.struct("lead", "overlap"), F.struct("overlap", "lead")).alias("home"))
     entries = entries.join(met, ["key", "lead"], "left").join(home, "key", "left")
     entries = entries.select(
-        "key", "n", "s", "col", "c",
+        "key", "n", "s", "col", "pos", "c",
         F.coalesce("overlap", "s").alias("o"),
         F.coalesce("home.lead", "key").alias("home"),
         F.coalesce("home.overlap", "s").alias("h"),
@@ -283,7 +283,9 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
         if r < LEADER_ROUNDS:
             pairs = met.where("comp <> y.comp").select(F.struct(*_MEMBER).alias("x"), "y").where(_may_link(F.col("x"), F.col("y"), num, den))
         else:
-            pairs = _open_pairs(met.select("col", "comp", "c", *_MEMBER), num, den)
+            before = alive.select("key", prefix.alias("prefix"))
+            met = met.join(before, "key").select("col", "comp", "c", *_MEMBER, F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
+            pairs = _open_pairs(met, num, den)
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         for t in tested:
             either = t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -360,14 +362,21 @@ def _can_link(entries: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _open_pairs(at: DataFrame, num: int, den: int, chunk: int = 512) -> DataFrame:
-    """(x, y): all pairs in a column that are in different components and may link, by pairs of bounded chunks of them."""
+    """(x, y): all pairs of a column that are in different components and may link, by pairs of bounded chunks of them.
+
+    A pair is made in the first column that both rows have (``before``: a row's columns ahead of
+    this one). Two rows that can link are in all their common columns here, as every bound by
+    which an entry was left out holds for both.
+    """
     part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.expr(f"c DIV {chunk}")))
-    chunks = at.groupBy("col", part.alias("part")).agg(F.collect_list(F.struct(*_MEMBER, "comp")).alias("xs"))
+    chunks = at.groupBy("col", part.alias("part")).agg(F.collect_list(F.struct(*_MEMBER, "comp", "before")).alias("xs"))
     right = chunks.select("col", F.col("part").alias("part_2"), F.col("xs").alias("ys"))
     met = chunks.join(right, "col").where("part <= part_2")
 
     def partners(x: Column) -> Column:
-        fits = F.filter("ys", lambda y: (x["comp"] != y["comp"]) & _may_link(x, y, num, den))
-        return F.transform(fits, lambda y: F.struct(x.alias("x"), y.alias("y")))
+        fits = F.filter(
+            "ys", lambda y: (x["comp"] != y["comp"]) & _may_link(x, y, num, den) & ~F.arrays_overlap(x["before"], y["before"])
+        )
+        return F.transform(fits, lambda y: F.struct(F.struct(x["key"].alias("key")).alias("x"), F.struct(y["key"].alias("key")).alias("y")))
 
     return met.select(F.explode(F.flatten(F.transform("xs", partners))).alias("p")).select("p.x", "p.y")
