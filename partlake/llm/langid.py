@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partlake.llm.batches import slices_by_bytes
+
 #: N-grams kept in a profile.
 PROFILE = 300
 UNKNOWN = "und"
@@ -85,7 +87,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
                 )
             held.clear()
 
-        for b in batches:
+        for b in (s for batch in batches for s in slices_by_bytes(batch, 0)):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 codes, counts = ngram_counts(text)
                 held.setdefault(lang, []).append((codes, counts))
@@ -166,7 +168,7 @@ def predict_languages(
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices_by_bytes(batch, 0)):
             said = [model.predict(t) for t in b.column(0).to_pylist()]
             more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "lang_pred", "score"])
