@@ -128,57 +128,92 @@ def _binaries(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def _shared_cells(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A block's documents with their columns of two or more documents, and those columns' counts."""
-    t = table.combine_chunks()
-    keys = t.column("key").to_numpy()
-    sizes = t.column("n").to_numpy()
-    has_cells = ~t.column("cells").is_null().to_numpy(zero_copy_only=False)
-    out_key, out_n, out_cols, out_df, lens = [], [], [], [], []
-    rows = np.flatnonzero(has_cells)
-    rows = rows[np.unique(keys[rows], return_index=True)[1]]  # copies of a set count once
-    if len(rows):
-        cells = [c.as_buffer() for c in t.column("cells").take(pa.array(rows))]
-        m = np.array([c.size for c in cells], np.int64) // 6
-        words = np.frombuffer(b"".join(cells), "<u2").reshape(-1, 3)
-        col = words[:, 2].astype(np.uint64)
-        for w in (1, 0):
-            col <<= np.uint64(16)
-            col |= words[:, w]
-        del cells, words
-        _, where, df = np.unique(col, return_inverse=True, return_counts=True)
-        df = df[where]
-        own = np.repeat(np.arange(len(rows)), m)
-        more = df > 1
-        block = np.uint64(key[0].as_py()) << np.uint64(48)
-        own = own[more]
-        out_cols.append((col[more] | block).view(np.int64))
-        out_df.append(df[more].astype(np.int32))
-        n = np.bincount(own, minlength=len(rows))
-        some = n > 0
-        out_key.append(keys[rows][some])
-        out_n.append(sizes[rows][some])
-        lens.append(n[some])
-    hot = np.flatnonzero(~has_cells)
-    hot = hot[np.unique(keys[hot], return_index=True)[1]]
-    if len(hot):
-        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("heavy").take(pa.array(hot))]
-        flat = np.concatenate(parts)
-        out_cols.append(flat)
-        out_df.append(np.full(len(flat), np.iinfo(np.int32).max, np.int32))
-        out_key.append(keys[hot])
-        out_n.append(sizes[hot])
-        lens.append(np.array([len(p) for p in parts], np.int64))
-    cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(cat(lens, np.int64))]).astype(np.int32))
-    return pa.table(
-        {
-            "key": cat(out_key, np.int64),
-            "n": cat(out_n, np.int64),
-            "cols": pa.ListArray.from_arrays(offsets, pa.array(cat(out_cols, np.int64))),
-            "df": pa.ListArray.from_arrays(offsets, pa.array(cat(out_df, np.int32))),
-        }
-    )
+PACKED = "dest int, key array<long>, n array<long>, m array<int>, cols array<long>, df array<int>"
+
+
+def _shared_cells(n_dest: int):
+    """For a block: its documents' columns of two or more documents, with those columns' counts.
+
+    Documents are packed by destination, so a block gives ``n_dest`` rows, however many
+    documents it has.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        keys, sizes = t.column("key").to_numpy(), t.column("n").to_numpy()
+        has_cells = ~t.column("cells").is_null().to_numpy(zero_copy_only=False)
+        own, cols, dfs = [], [], []
+        rows = np.flatnonzero(has_cells)
+        rows = rows[np.unique(keys[rows], return_index=True)[1]]  # copies of a set count once
+        if len(rows):
+            cells = [c.as_buffer() for c in t.column("cells").take(pa.array(rows))]
+            m = np.array([c.size for c in cells], np.int64) // 6
+            words = np.frombuffer(b"".join(cells), "<u2").reshape(-1, 3)
+            col = words[:, 2].astype(np.uint64)
+            for w in (1, 0):
+                col <<= np.uint64(16)
+                col |= words[:, w]
+            del cells, words
+            _, where, df = np.unique(col, return_inverse=True, return_counts=True)
+            df = df[where]
+            more = df > 1
+            own.append(np.repeat(rows, m)[more])
+            cols.append((col[more] | (np.uint64(key[0].as_py()) << np.uint64(48))).view(np.int64))
+            dfs.append(df[more].astype(np.int32))
+        hot = np.flatnonzero(~has_cells)
+        hot = hot[np.unique(keys[hot], return_index=True)[1]]
+        if len(hot):
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("heavy").take(pa.array(hot))]
+            own.append(np.repeat(hot, [len(p) for p in parts]))
+            cols.append(np.concatenate(parts))
+            dfs.append(np.full(len(cols[-1]), np.iinfo(np.int32).max, np.int32))
+        own, cols, dfs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own, cols, dfs))
+        dest = (keys[own].view(np.uint64) % np.uint64(n_dest)).astype(np.int64)
+        order = np.lexsort((own, dest))
+        own, cols, dfs, dest = own[order], cols[order], dfs[order], dest[order]
+        doc = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        m = np.diff(np.concatenate([doc, [len(own)]])) if len(own) else np.zeros(0, np.int64)
+        dests, first_doc = np.unique(dest[doc], return_index=True)
+        doc_cut = np.concatenate([first_doc, [len(doc)]]).astype(np.int32)
+        cell_cut = np.concatenate([doc, [len(own)]])[doc_cut].astype(np.int32)
+        lists = lambda cut, x, kind: pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(kind)))
+        return pa.table(
+            {
+                "dest": pa.array(dests.astype(np.int32)),
+                "key": lists(doc_cut, keys[own[doc]], np.int64),
+                "n": lists(doc_cut, sizes[own[doc]], np.int64),
+                "m": lists(doc_cut, m, np.int32),
+                "cols": lists(cell_cut, cols, np.int64),
+                "df": lists(cell_cut, dfs, np.int32),
+            }
+        )
+
+    return run
+
+
+def _whole_rows(num: int, den: int):
+    """For a destination: documents whose shared columns reach the least overlap their size asks for, rare columns first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        keys, n, m = flat("key"), flat("n"), flat("m")
+        which, first, doc = np.unique(keys, return_index=True, return_inverse=True)
+        shared = np.bincount(doc, weights=m, minlength=len(which)).astype(np.int64)
+        kept = shared * den >= n[first] * num
+        cell_doc = np.repeat(doc, m)
+        here = kept[cell_doc]
+        cols, df, cell_doc = flat("cols")[here], flat("df")[here], cell_doc[here]
+        order = np.lexsort((cols, df, cell_doc))
+        ends = np.concatenate([[0], np.cumsum(shared[kept])]).astype(np.int32)
+        return pa.table(
+            {
+                "key": pa.array(which[kept]),
+                "n": pa.array(n[first][kept]),
+                "cols": pa.ListArray.from_arrays(pa.array(ends), pa.array(cols[order])),
+            }
+        )
+
+    return run
 
 
 def jaccard_components(
@@ -215,17 +250,13 @@ def jaccard_components(
     big = classes.orderBy(F.desc("class_size"), "key").limit(HEAVY_GROUPS).where("class_size > 2").collect()
     heavy_sets = {r["key"]: r["class_id"] for r in big}
 
-    wanted = F.expr(f"({num} * n + {den - 1}) DIV {den}")  # the least overlap with any partner
-    shared = (
+    n_dest = min(n_blocks, 64 + n_blocks // 8)
+    alive = (
         _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets)
         .groupBy("block")
-        .applyInArrow(_shared_cells, "key long, n long, cols array<long>, df array<int>")
-    )
-    alive = (
-        shared.groupBy("key", "n")
-        .agg(F.flatten(F.collect_list("cols")).alias("cols"), F.flatten(F.collect_list("df")).alias("df"))
-        .where(F.size("cols") >= wanted)
-        .select("key", "n", F.transform(F.array_sort(F.arrays_zip("df", "cols")), lambda x: x["cols"]).alias("cols"))
+        .applyInArrow(_shared_cells(n_dest), PACKED)
+        .groupBy("dest")
+        .applyInArrow(_whole_rows(num, den), "key long, n long, cols array<long>")
     )
     alive = scratch.write(alive, "rows")
     labels = _link(alive, num, den, scratch)

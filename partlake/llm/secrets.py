@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlake.llm.batches import slices_by_bytes
+from partlake.llm.sampling import bounded_sample
 
 KINDS = ("assign", "access", "hex", "field")
 
@@ -139,6 +140,20 @@ class Field:
         return tags[::-1]
 
 
+def _harmless(rng: np.random.Generator, lines: int = 240) -> list[str]:
+    """Lines of made-up links, dates, versions, mail addresses and numbers: long tokens with digits that are no secrets."""
+    word = lambda: "".join(rng.choice(list("aeioulnrstmd"), rng.integers(3, 9)))
+    n = lambda k: int(rng.integers(1, 10**k))
+    forms = [
+        lambda: f"see https://{word()}.example.com/{word()}/{word()}-{n(4)}/{n(6)}?id={n(9)}&page={n(2)} for more",
+        lambda: f"on 20{n(2):02d}-{n(1):02d}-{n(1):02d}T{n(1):02d}:{n(1):02d}:00Z and /{word()}/{word()}_{n(3)}/{word()}.html",
+        lambda: f"version {n(1)}.{n(1)}.{n(2)}-{word()}-20{n(2):02d}{n(4):04d}, {word()}_{word()}_{n(4)}",
+        lambda: f"mail {word()}.{n(2)}@{word()}{n(1)}.example.com or +{n(1)} {n(9)} {n(9)}{n(7)}",
+        lambda: f"the {word()}-{word()}-{word()}-{word()}-{word()} {word()}{word()}{word()} part",
+    ]
+    return [forms[i % len(forms)]() for i in range(lines)]
+
+
 def fit_field(texts: list[str], rounds: int = 12, rate: float = 0.3, ridge: float = 1e-3, seed: int = 5) -> Field:
     """Maximum likelihood by stochastic gradients, with forward-backward sums for the expected counts.
 
@@ -148,7 +163,7 @@ def fit_field(texts: list[str], rounds: int = 12, rate: float = 0.3, ridge: floa
     """
     rng = np.random.default_rng(seed)
     data: list[tuple[list[list[str]], list[int]]] = []
-    for t in texts:
+    for t in texts + _harmless(rng):
         spans = base_spans(t)
         file = file_features(t)
         for run in candidate_runs(t):
@@ -225,16 +240,15 @@ def find_secrets(text: str | None, field: Field) -> tuple[list[tuple[str, int, i
 
 
 def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 600) -> Field:
-    """Fit the field on at most ``sample_rows`` rows with a base match and as many without (smallest hashed ids)."""
+    """Fit the field on at most ``sample_rows`` rows with a base match and as many without, 20,000 characters of each."""
     text = F.col(text_col)
     has = text.rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}") | (
         text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
     )
-    slim = docs.where(text.isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), text.alias("text"), has.alias("has"))
-    rows = []
-    for wanted in (True, False):
-        rows += slim.where(F.col("has") == wanted).orderBy("h", F.crc32(F.col("text").cast("binary"))).limit(sample_rows).collect()
-    return fit_field([r["text"][:20_000] for r in rows])
+    texts = []
+    for wanted in (has, ~has):
+        texts += bounded_sample(docs.where(wanted), sample_rows, text_col, id_col)
+    return fit_field(texts)
 
 
 def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,84 @@
+import hashlib
+import sys
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from oracle import SF, compare  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from partlake.llm import bpe  # noqa: E402
+from partlake.llm.queries import ORACLE, QUERIES  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_against_sql(spark, name):
+    compare(spark, QUERIES[name], ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_whole_table(spark, name):
+    table = "pages" if name == "op7_html_extraction" else "documents"
+    rows = QUERIES[name](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_token_positions(spark):
+    rows = sorted(QUERIES["op9_token_records"](spark, SF).collect(), key=lambda r: r.doc_id)
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+
+
+def test_pipeline(spark):
+    """Stage decisions by plain Python over the small table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+
+    def parts(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    texts = {i: t for i, t in zip(docs.doc_id, docs.text) if t and any(c.isalpha() for c in t)}
+    best = {}
+    for i, t in texts.items():
+        norm = "".join(t.split())
+        if norm not in best or (-len(t), i) < (-len(texts[best[norm]]), best[norm]):
+            best[norm] = i
+    left = sorted(best.values())
+    sets = {i: parts(texts[i]) for i in left}
+    root = {i: i for i in left}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in left:
+        for b in left:
+            if b < a:
+                o = len(sets[a] & sets[b])
+                if o and 5 * o >= 4 * (len(sets[a]) + len(sets[b]) - o):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    left = [i for i in left if find(i) == i]
+    bench = [parts(t) for t in items.text]
+    left = [i for i in left if not any(5 * len(b & sets[i]) >= 4 * len(b) for b in bench if b)]
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == left
+    enc = bpe.load_encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for r in rows:
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(texts[r.doc_id])
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    assert len(rows) > 0 and Counter(type(r.n_tokens) for r in rows)
+
+
+def test_stages_keep_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
