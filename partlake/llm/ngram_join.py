@@ -36,6 +36,8 @@ HEAVY_SHARE = 0.01
 #: Incidences in a block.
 BLOCK_CELLS = 2_000_000
 LEADER_ROUNDS = 4
+#: Incidences that a task packs at once.
+PACK_CELLS = 2_000_000
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
 
@@ -70,56 +72,80 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
 
 def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> DataFrame:
-    """(block, key, n, cells binary, heavy binary): a document's columns, cut by block; 48-bit column numbers."""
+    """A task's documents cut by block and packed, one row for each block and ``PACK_CELLS`` incidences.
+
+    ``cells`` has ``m`` column numbers of each document: the low 48 bits, or all 64 where
+    ``hot``, as heavy columns stay with a block of their document's own.
+    """
     order = np.sort(np.array(heavy_cols, np.int64).view(np.uint64))
 
+    def pack(keys, sizes, flat, own) -> Iterator[pa.RecordBatch]:
+        hot = np.isin(flat, order) if len(order) else np.zeros(len(flat), bool)
+        for is_hot in (False, True):
+            f, o = flat[hot == is_hot], own[hot == is_hot]
+            if not len(f):
+                continue
+            if is_hot:
+                block = (keys[o].view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
+            else:
+                block = ((f >> np.uint64(48)).astype(np.int64) * n_blocks) >> 16
+            by_block = np.argsort(block, kind="stable")
+            f, o, block = f[by_block], o[by_block], block[by_block]
+            start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            doc = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (block[1:] != block[:-1])]))
+            if is_hot:
+                data, width = f.astype("<u8").tobytes(), 8
+            else:
+                low = f & np.uint64(0xFFFFFFFFFFFF)
+                packed = np.empty((len(f), 3), "<u2")
+                for w in range(3):
+                    packed[:, w] = (low >> np.uint64(16 * w)).astype(np.uint16)
+                data, width = packed.tobytes(), 6
+            cut = np.append(np.searchsorted(doc, start), len(doc)).astype(np.int32)
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block[start].astype(np.int32)),
+                    pa.array([is_hot] * len(start)),
+                    lists(keys[o[doc]]),
+                    lists(sizes[o[doc]]),
+                    lists(np.diff(np.append(doc, len(f))).astype(np.int32)),
+                    _binaries(data, start * width, np.append(start[1:], len(f)) * width),
+                ],
+                names=["block", "hot", "key", "n", "m", "cells"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cells, docs_held, seen = [], 0, 0, set()
+
+        def flush():
+            if held:
+                yield from pack(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
         for b in batches:
             for part in slices_by_bytes(b, 1, PIECE):
-                ids, rows = part.column(0).to_pylist(), part.num_rows
+                ids = part.column(0).to_pylist()
                 s = shingle_sets(part.column(1).to_pylist(), k)
                 keys = s.key.view(np.int64)
-                # a set is emitted once a piece; one of a huge group by its first document alone
-                first = np.zeros(rows, bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                if heavy_sets:
-                    for x, key in enumerate(keys.tolist()):
-                        if key in heavy_sets and heavy_sets[key] != ids[x]:
-                            first[x] = False
-                own = np.repeat(np.arange(rows), s.size)
-                mine = first[own]
-                flat, own = s.flat[mine], own[mine]
-                hot = np.isin(flat, order) if len(order) else np.zeros(len(flat), bool)
-                block = ((flat >> np.uint64(48)).astype(np.int64) * n_blocks) >> 16
-                for is_hot in (False, True):
-                    f, o, bl = flat[hot == is_hot], own[hot == is_hot], block[hot == is_hot]
-                    if not len(f):
-                        continue
-                    if is_hot:
-                        bl = (keys[o].view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
-                    # a document's hashes ascend, so they are in block order
-                    cut = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (bl[1:] != bl[:-1])]))
-                    low = f & np.uint64(0xFFFFFFFFFFFF)
-                    packed = np.empty((len(f), 3), "<u2")
-                    for w in range(3):
-                        packed[:, w] = (low >> np.uint64(16 * w)).astype(np.uint16)
-                    full = f.view(np.int64)
-                    ends = np.concatenate([cut[1:], [len(f)]])
-                    cells = _binaries(packed.tobytes(), cut * 6, ends * 6)
-                    none = pa.nulls(len(cut), pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(bl[cut].astype(np.int32)),
-                            pa.array(keys[o[cut]]),
-                            pa.array(s.size[o[cut]]),
-                            none if is_hot else cells,
-                            _binaries(full.tobytes(), cut * 8, ends * 8) if is_hot else none,
-                        ],
-                        names=["block", "key", "n", "cells", "heavy"],
-                    )
+                # a set is emitted once a pack; one of a huge group by its first document alone
+                first = np.zeros(len(ids), bool)
+                for x, key in enumerate(keys.tolist()):
+                    if s.size[x] and key not in seen and heavy_sets.get(key, ids[x]) == ids[x]:
+                        seen.add(key)
+                        first[x] = True
+                if not first.any():
+                    continue
+                mine = np.repeat(first, s.size)
+                own = np.repeat(np.arange(int(first.sum())), s.size[first]) + docs_held
+                held.append((keys[first], s.size[first], s.flat[mine], own))
+                cells, docs_held = cells + len(own), docs_held + int(first.sum())
+                if cells >= PACK_CELLS:
+                    yield from flush()
+                    held, cells, docs_held, seen = [], 0, 0, set()
+        yield from flush()
 
     slim = docs.select(id_col, text_col)
-    return slim.mapInArrow(run, "block int, key long, n long, cells binary, heavy binary")
+    return slim.mapInArrow(run, "block int, hot boolean, key array<long>, n array<long>, m array<int>, cells binary")
 
 
 def _binaries(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -140,34 +166,39 @@ def _shared_cells(n_dest: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        keys, sizes = t.column("key").to_numpy(), t.column("n").to_numpy()
-        has_cells = ~t.column("cells").is_null().to_numpy(zero_copy_only=False)
-        own, cols, dfs = [], [], []
-        rows = np.flatnonzero(has_cells)
-        rows = rows[np.unique(keys[rows], return_index=True)[1]]  # copies of a set count once
-        if len(rows):
-            cells = [c.as_buffer() for c in t.column("cells").take(pa.array(rows))]
-            m = np.array([c.size for c in cells], np.int64) // 6
-            words = np.frombuffer(b"".join(cells), "<u2").reshape(-1, 3)
-            col = words[:, 2].astype(np.uint64)
-            for w in (1, 0):
-                col <<= np.uint64(16)
-                col |= words[:, w]
-            del cells, words
-            _, where, df = np.unique(col, return_inverse=True, return_counts=True)
-            df = df[where]
+        hot = t.column("hot").to_numpy()
+        lists = lambda c, at: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy()
+        keys, sizes, own, cols, dfs, docs = [], [], [], [], [], 0
+        for is_hot in (False, True):
+            rows = np.flatnonzero(hot == is_hot)
+            if not len(rows):
+                continue
+            key_of, m = lists("key", rows), lists("m", rows)
+            once = np.zeros(len(key_of), bool)
+            once[np.unique(key_of, return_index=True)[1]] = True  # copies of a set count once
+            data = b"".join(c.as_buffer() for c in t.column("cells").take(pa.array(rows)))
+            if is_hot:
+                col = np.frombuffer(data, "<u8")[np.repeat(once, m)]
+                df = np.full(len(col), np.iinfo(np.int32).max, np.int64)
+            else:
+                words = np.frombuffer(data, "<u2").reshape(-1, 3)[np.repeat(once, m)]
+                col = words[:, 2].astype(np.uint64)
+                for w in (1, 0):
+                    col <<= np.uint64(16)
+                    col |= words[:, w]
+                del words
+                _, where, df = np.unique(col, return_inverse=True, return_counts=True)
+                df = df[where]
+                col |= np.uint64(key[0].as_py()) << np.uint64(48)
             more = df > 1
-            own.append(np.repeat(rows, m)[more])
-            cols.append((col[more] | (np.uint64(key[0].as_py()) << np.uint64(48))).view(np.int64))
+            own.append(np.repeat(np.arange(int(once.sum())), m[once])[more] + docs)
+            cols.append(col[more].view(np.int64))
             dfs.append(df[more].astype(np.int32))
-        hot = np.flatnonzero(~has_cells)
-        hot = hot[np.unique(keys[hot], return_index=True)[1]]
-        if len(hot):
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in t.column("heavy").take(pa.array(hot))]
-            own.append(np.repeat(hot, [len(p) for p in parts]))
-            cols.append(np.concatenate(parts))
-            dfs.append(np.full(len(cols[-1]), np.iinfo(np.int32).max, np.int32))
-        own, cols, dfs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own, cols, dfs))
+            keys.append(key_of[once])
+            sizes.append(lists("n", rows)[once])
+            docs += int(once.sum())
+        keys, sizes = np.concatenate(keys), np.concatenate(sizes)
+        own, cols, dfs = (np.concatenate(x) for x in (own, cols, dfs))
         dest = (keys[own].view(np.uint64) % np.uint64(n_dest)).astype(np.int64)
         order = np.lexsort((own, dest))
         own, cols, dfs, dest = own[order], cols[order], dfs[order], dest[order]
