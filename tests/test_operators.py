@@ -124,6 +124,37 @@ def test_chunks_and_diff(spark):
     assert {r.k: r.change for r in corpus.snapshot_diff(old, new, "k").collect()} == {1: "removed", 2: "kept", 3: "added"}
 
 
+def chunks_by_force(rows, limit):
+    out, used, no = [], {}, {}
+    for p, o, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2] or 0)):
+        s = s or 0
+        if used.get(p, 0) > 0 and used[p] + s > limit:
+            no[p], used[p] = no[p] + 1, s
+        else:
+            no[p], used[p] = no.get(p, 0), used.get(p, 0) + s
+        out.append((p, o, no[p]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limit, high", [(10, 4), (50, 12), (3, 9), (10_000, 5)])
+def test_chunks_over_ranges(spark, monkeypatch, limit, high):
+    import random
+
+    monkeypatch.setattr(windows, "RANGE_ROWS", 40)
+    rng = random.Random(limit)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), i if rng.random() < 0.8 else 7, rng.choice([None, 0, rng.randint(0, high), 1])) for i in range(900)]
+    rows += [("zeros", i, 0) for i in range(90)] + [("zeros", 90, 60), ("zeros", 91, 0), ("zeros", 92, 60), ("null order", None, 5), ("null order", None, 6)]
+    df = spark.createDataFrame(rows, "p string, o long, s long").repartition(5)
+    got = [tuple(r) for r in windows.chunks_by_size(df, "p", "o", F.col("s"), limit).collect()]
+    assert sorted(got, key=str) == chunks_by_force(rows, limit)
+    assert windows.chunks_by_size(df.where("false"), "p", "o", F.col("s"), limit).count() == 0
+
+
+def test_chunks_null_size(spark):
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate([5, None, 6, 6])], "p string, o long, s long")
+    assert [r.chunk for r in windows.chunks_by_size(df, "p", "o", F.col("s"), 10).orderBy("o").collect()] == [0, 0, 1, 2]
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1, 1.0), (1, None), (2, -1.0)], "k int, v double")
     got = {r.check: (r.n_bad, r.status) for r in quality.check_rows(df, {"positive": F.col("v") > 0}).unionByName(quality.unique_key(df, ["k"], "unique")).collect()}
