@@ -20,11 +20,11 @@ SHINGLE, NUM, DEN = 5, 4, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a recognised language; those without any letter (``und``) go."""
+    """Keep documents that can have a language; those without any letter go, whether or not profiles could be learned."""
     profiles = langid.learn_profiles(docs)
     keyed = docs.withColumn("__row", F.xxhash64("text"))
     said = langid.predict_languages(keyed, profiles, keep=("__row",))
-    bad = said.where(F.col("lang_pred") == langid.UNKNOWN)
+    bad = said.where(~F.col("has_letters"))
     return drop_keys(keyed, bad, {"doc_id": "doc_id", "__row": "__row"}, Scratch(spark, "language-id")).select(*docs.columns)
 
 

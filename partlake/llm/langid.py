@@ -59,6 +59,10 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([one, two, three]), return_counts=True)
 
 
+def has_letters(text: str | None) -> bool:
+    return bool(text) and bool((_letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)] != 32).any())
+
+
 def top_ranks(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The ``size`` most frequent codes, most frequent first, ties by code."""
     if len(codes) > 4 * size:  # only codes at or above the size-th count can be among them
@@ -157,11 +161,12 @@ def predict_languages(
     size: int = PROFILE,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, ``keep`` columns, ``lang_pred``, ``score``) for every row, from the text alone.
+    """(id, ``keep`` columns, ``lang_pred``, ``score``, ``has_letters``) for every row, from the text alone.
 
     Null texts and texts without a letter get ``und`` and 0. Ties go to the language
     that sorts first. Rows are independent: repeated ids stay, columns not named are not
-    read; without any profile every row is ``und``. Whole texts count, however long.
+    read; without any profile every row is ``und``, and only ``has_letters`` tells texts
+    that no language could have. Whole texts count, however long.
     """
     model = Profiles([tuple(r) for r in profiles.select("lang", "rank", "code").collect()], size)
     cols = [id_col, *keep]
@@ -169,11 +174,13 @@ def predict_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices_by_bytes(batch, 0)):
-            said = [model.predict(t) for t in b.column(0).to_pylist()]
-            more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "lang_pred", "score"])
+            texts = b.column(0).to_pylist()
+            said = [model.predict(t) for t in texts]
+            known = [x[0] != UNKNOWN or has_letters(t) for x, t in zip(said, texts)]
+            more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array(known, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "lang_pred", "score", "has_letters"])
 
-    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double, has_letters boolean")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

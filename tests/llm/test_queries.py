@@ -82,3 +82,14 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_language_stage_without_labels(spark):
+    """Only texts without a letter go where no profile can be learned, or where ``und`` is a label."""
+    texts = ["the cat", "123 !?", None, "", "\u65e5\u672c"]
+    for lang in (None, "und"):
+        docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [0, 4]
+    # labelled rows hold no letter
+    docs = spark.createDataFrame([(0, "1 2", "en", "s", 3), (1, "the cat", None, "s", 7)], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()] == [1]
