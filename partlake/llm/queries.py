@@ -96,7 +96,8 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-records")
     path = scratch.new_path("records")
-    token_records.write_token_records(_table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    docs, file = _table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
+    token_records.write_token_records(docs, path, file, end_id=2, split_added=False)
     read = token_records.read_token_records(spark, path).select(
         "part", "row", "doc_id", F.expr("length(ids) DIV 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

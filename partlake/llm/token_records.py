@@ -136,15 +136,18 @@ class WordEncoder:
     separates matches: a text's ids are those of its blank-separated words in order.
     Words of Latin letters, which normalisation only lower-cases and the pre-tokenizer
     leaves whole, go straight to the library's merge model; all others take its full path.
+    Added tokens such as ``<|endoftext|>`` have their ids wherever a text holds them, as the
+    library does it; with ``split_added`` they are cut into pieces like other text.
     """
 
     _plain = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([.,]?)").fullmatch
 
-    def __init__(self, path: str, id_bytes: int, words: int = 600_000):
+    def __init__(self, path: str, id_bytes: int, words: int = 600_000, split_added: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        if split_added:
+            self.tok.encode_special_tokens = True
         self.tok.no_padding()
         self.tok.no_truncation()
         self.kind = np.dtype(f"<u{id_bytes}")
@@ -227,11 +230,11 @@ def _byte_chars() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, id_bytes: int) -> WordEncoder:
+def _encoder(path: str, id_bytes: int, split_added: bool) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path, id_bytes)
+    return WordEncoder(path, id_bytes, split_added=split_added)
 
 
 def write_token_records(
@@ -243,6 +246,7 @@ def write_token_records(
     text_col: str = "text",
     id_bytes: int = 2,
     partitions: int | None = None,
+    split_added: bool = True,
 ) -> DataFrame:
     """Write every text's ids and ``end_id`` as one record each, in ascending id order; returns the offset index.
 
@@ -250,7 +254,8 @@ def write_token_records(
     first, rows that repeat an id by text). Null and empty texts are records of the end id
     alone. The index has: ``part`` (order of the files), ``file``, ``row`` (order in the
     file), ``offset`` and ``size`` of the frame, id, ``n_tokens``. An empty table gives an
-    empty index and no file. Only the id and text columns are read. ``out_dir`` is a folder
+    empty index and no file. Added tokens that a text holds literally are split into pieces,
+    or with ``split_added=False`` get their ids. Only the id and text columns are read. ``out_dir`` is a folder
     that all executors can write to.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -264,7 +269,7 @@ def write_token_records(
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        enc = _encoder(tokenizer_file, id_bytes)
+        enc = _encoder(tokenizer_file, id_bytes, split_added)
         part, out, at, row = task.partitionId(), None, 0, 0
         name = f"records-{part:06d}-{run_id}-{task.taskAttemptId()}.bin"
         fs, root = pafs.FileSystem.from_uri(fs_dir)

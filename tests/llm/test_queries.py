@@ -93,3 +93,21 @@ def test_language_stage_without_labels(spark):
     # labelled rows hold no letter
     docs = spark.createDataFrame([(0, "1 2", "en", "s", 3), (1, "the cat", None, "s", 7)], docs.schema)
     assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()] == [1]
+
+
+def test_added_tokens_in_texts(spark, tmp_path):
+    """Ids of the tokenizer as it is loaded, for literals of its added tokens."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    a, b = "<|startoftext|>", "<|endoftext|>"
+    texts = [f"one {a} two {b}", f"o{a}ne tw{b}o,{b}", f"{b}{b}{a}", b.upper(), f"  {b} x.{a}\t\u00c9t\u00e9{b}don't", "<|end oftext|>", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = sorted(QUERIES["op9_token_records"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    at = 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
