@@ -26,6 +26,13 @@ from partlake.llm.sampling import bounded_sample
 
 #: Elements that never hold main text, with all they enclose.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas form button select textarea".split())
+#: Silent elements whose content is skipped up to their end tag as it stands.
+RAW = frozenset("script style textarea title iframe noscript template".split())
+#: What a head can hold; anything else ends it.
+HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+#: Blocks that end a drawing or formula when they start in it, other than in a part for foreign content.
+BREAKOUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 li menu ol p pre table ul".split())
+FOREIGN = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
@@ -69,7 +76,12 @@ FEATURES = [
 
 
 def page_blocks(page: str | None) -> list[Block]:
-    """The page's text blocks in order. White space is one blank, references are decoded, silent elements are gone."""
+    """The page's text blocks in order. White space is one blank, references are decoded, silent elements are gone.
+
+    A head ends where a text or an element starts that it cannot hold. Another silent element
+    without its end tag ends where a block around it closes; if no such end tag follows in the
+    page, also at the next block; a drawing or formula at the next block anyway.
+    """
     if not page:
         return []
     stack: list[tuple[str, int, frozenset]] = []  # element, section number (0: none), name words
@@ -105,10 +117,28 @@ def page_blocks(page: str | None) -> list[Block]:
             flush()
         del stack[i:]
 
-    pos, silent = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < pos:
-            continue
+    def ends_silence(tag: str, closing: bool) -> bool:
+        """Whether a tag in the silent element shows that this was over before it."""
+        kind, inner = silent
+        if kind == "head":
+            return tag in ("body", "html", "br") if closing else tag not in HEAD
+        if closing:
+            return tag in ("body", "html") or tag in BLOCKS and tag not in inner and any(x[0] == tag for x in stack)
+        if kind in ("svg", "math") and tag in BREAKOUT and not FOREIGN & set(inner):
+            return True
+        return tag in BLOCKS and last_end(kind) < m.start()
+
+    ends: dict[str, int] = {}
+
+    def last_end(tag: str) -> int:
+        if tag not in ends:
+            ends[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
+        return ends[tag]
+
+    pos, silent = 0, None  # silent: the element, and the elements open in it
+    while m := _TOKEN.search(page, pos):
+        if silent is not None and silent[0] == "head" and page[pos : m.start()].strip():
+            silent = None
         if silent is None and m.start() > pos:
             t = html_lib.unescape(page[pos : m.start()])
             text.append(t)
@@ -118,22 +148,36 @@ def page_blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
+        if silent is not None and ends_silence(tag, closing):
+            silent = None
+        alone = m[3].rstrip().endswith("/")
         if silent is not None:
-            if tag == silent[0] and silent[0] not in ("script", "style", "textarea", "title"):
-                silent[1] += -1 if closing else 1
-                if silent[1] <= 0:
+            kind, inner = silent
+            foreign = kind in ("svg", "math")
+            if closing:
+                if tag in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+                elif tag == kind:
                     silent = None
+            elif tag in RAW and not (foreign and (alone or tag == "title")):
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos) if last_end(tag) >= pos else None
+                if end or tag not in ("noscript", "template"):
+                    pos = end.end() if end else len(page)
+            elif tag == kind and tag in ("select", "button"):  # the one before was not closed
+                inner.clear()
+            elif kind != "head" and tag not in VOID and not (tag == kind == "form") and not (foreign and alone):
+                inner.append(tag)
             continue
         if not closing and tag in SILENT:
             if tag not in ("button", "select", "svg", "math", "canvas", "object"):
                 flush()
-            if m[3].rstrip().endswith("/") and tag in ("svg", "math", "iframe"):
+            if alone and tag in ("svg", "math", "iframe"):
                 continue
-            if tag in ("script", "style", "textarea", "title", "iframe", "noscript", "template"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos) if tag in RAW and last_end(tag) >= pos else None
+            if end or tag in RAW and tag not in ("noscript", "template"):
                 pos = end.end() if end else len(page)
             else:
-                silent = [tag, 1]
+                silent = (tag, [])
             continue
         if tag in VOID:
             if tag == "hr":
@@ -179,7 +223,7 @@ def page_blocks(page: str | None) -> list[Block]:
             state["n"] += 1
             n = state["n"]
         stack.append((tag, n, frozenset(names)))
-    if silent is None and pos < len(page):
+    if pos < len(page) and (silent is None or silent[0] == "head" and page[pos:].strip()):
         text.append(html_lib.unescape(page[pos:]))
     flush()
     return out

@@ -283,6 +283,31 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=x><body><article><p>Kept one.<p>Kept two.</article></body></html>",
+        "<head><title>T</title><link rel=x href=y><article><p>Kept one.<p>Kept two.</article>",
+        "<head><title>T</title>Kept one.<p>Kept two.",
+        "<html><head><script>for (i = 0; i<n ; i++) {} // don't</script></head><body><p>Kept one.<p>Kept two.</p><p hidden='x'></p></body></html>",
+        "<body><script>if (a<b) x = 'it</script><p>Kept one.<p title='t'>Kept two.</body>",
+        "<head><style>a<b 'c{}</style></head><p>Kept one.<p title='x'>Kept two.",
+        "<div><form><input><label>Mail</label></div><p>Kept one.<p>Kept two.",
+        "<div><form><div><script>a<b 'c</script><label>Mail</label></div></div><p>Kept one.</p><div title='x'><p>Kept two.</p><form>x</form></div>",
+        "<div><div><select><option>A<option>B</div><p>Kept one.</p><select><option>C</select><p>Kept two.</p></div>",
+        "<p>Kept one.<button>Press</p><p>Kept two.</p><button>x</button>",
+        "<body><form><input>Mail<article><p>Kept one.<p>Kept two.</article></body>",
+        "<p>Kept one.<svg><path d='x'><text>Drawn</text><p>Kept two.</p><svg><path/><title/></svg>",
+        "<p>Kept one.<svg><foreignObject><div>Drawn</div></foreignObject><style/><g/></svg><p>Kept two.",
+        "<div><form><div><form></form></div></div><p>Kept one.<p>Kept two.",
+        "<body><noscript><img src=x><p>Kept one.<p>Kept two.",
+        "<p>Kept one.<button>a<button>b</button><p>Kept two.",
+    ],
+)
+def test_html_broken_silent_elements(page):
+    assert [b.text for b in html_extract.page_blocks(page)] == ["Kept one.", "Kept two."]
+
+
 def test_html_whole_pages(spark):
     import re
     from html import unescape
