@@ -7,7 +7,7 @@ result is written as Parquet and read again. All but the last return the columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partlake.llm import bpe, decontam, exact_dedup, langid, ngram_join
@@ -17,6 +17,8 @@ from partlake.llm.scratch import Scratch
 
 #: Near copies share 4/5 of their five-word shingles.
 SHINGLE, NUM, DEN = 5, 4, 5
+#: Texts with a word, and so with shingles.
+NOT_BLANK = "[^\\\\x20\\\\x09-\\\\x0D]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +36,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, keep the document with the smallest id."""
-    groups = ngram_join.jaccard_components(docs, k=SHINGLE, num=NUM, den=DEN)
-    gone = groups.where("NOT doc_id <=> component_id")
-    return drop_keys(docs, gone, {"doc_id": "doc_id"}, Scratch(spark, "near-copies"))
+    """Of each component of near copies, keep the row with the smallest id (nulls last), then the smallest text hash."""
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
+    groups = ngram_join.jaccard_components(keyed, k=SHINGLE, num=NUM, den=DEN, row_col="__row")
+    gone = groups.where("first IS NOT NULL AND NOT (doc_id <=> first.id AND __row <=> first.row)")
+    left = drop_keys(keyed, gone, {"doc_id": "doc_id", "__row": "__row"}, Scratch(spark, "near-copies"))
+    kept = groups.where("doc_id <=> first.id AND __row <=> first.row").groupBy("doc_id", "__row")
+    if kept.count().where("count > 1").limit(1).count():  # rows equal in id and text
+        again = F.row_number().over(Window.partitionBy("doc_id", "__row").orderBy("text"))
+        left = left.withColumn("__rn", again).where(F.expr(f"__rn = 1 OR NOT coalesce(text, '') RLIKE '{NOT_BLANK}'"))
+    return left.select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,7 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, item, ``n_shared``, ``n_item``, ``containment``) of every pair with ``den * n_shared >= num * n_item``.
 
@@ -63,7 +64,8 @@ def find_leaks(
     it has fewer words, so such an item is found only in documents of just these words.
     Null and blank texts and items match nothing. Rows that repeat an id are judged one by
     one and reported once, with the most shared shingles; items that repeat an id likewise.
-    Empty tables give no rows; other columns are not read.
+    With ``row_col``, rows that repeat an id are reported each, told apart by a hash of their
+    text in that column. Empty tables give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
@@ -75,7 +77,7 @@ def find_leaks(
     )
     if item.limit(1).count() == 0:
         scratch.clear()
-        return docs.sparkSession.createDataFrame([], _result_schema(docs, items, id_col, item_col))
+        return docs.sparkSession.createDataFrame([], _result_schema(docs, items, id_col, item_col, row_col))
 
     # a partition holds the sizes from 2^c to 2^(c+1) - 1; its sketch serves its largest size
     item = item.withColumn("largest", F.expr("shiftleft(2, cast(floor(log2(n_item)) AS INT)) - 1"))
@@ -90,7 +92,7 @@ def find_leaks(
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    hashed = slim.select("id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("w")).select(
+    hashed = slim.select("id", row_hash("text").alias("row"), words(F.col("text")).alias("w")).select(
         "id", "row", F.size("w").alias("n_words"), _shingles("w", k, _hashed).alias("hashes")
     )
     low = hashed.select(
@@ -102,7 +104,7 @@ def find_leaks(
 
     rows = candidates.select("id", "row").distinct()
     few = rows.count() <= broadcast_rows
-    keyed = slim.withColumn("row", F.xxhash64("text"))
+    keyed = slim.withColumn("row", row_hash("text"))
     chosen = keyed.join(F.broadcast(rows) if few else rows, keyed["id"].eqNullSafe(rows["id"]) & (keyed["row"] == rows["row"]), "left_semi")
     parts = (
         chosen.dropDuplicates(["id", "row"]) if not few else chosen
@@ -113,13 +115,14 @@ def find_leaks(
     found = candidates.alias("c").join(
         shared.alias("s"),
         F.col("c.id").eqNullSafe(F.col("s.id")) & (F.col("c.row") == F.col("s.row")) & (F.col("c.ref") == F.col("s.ref")),
-    ).select("c.id", "c.ref", "s.n_shared")
+    ).select("c.id", "c.row", "c.ref", "s.n_shared")
     sizes = item.select("ref", "item", "n_item")
     found = found.join(sizes, "ref").where(F.col("n_shared") * den >= F.col("n_item") * num)
+    by_row = [F.col("row").alias(row_col)] if row_col else []
     out = (
-        found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col))
+        found.groupBy(F.col("id").alias(id_col), F.col("item").alias(item_col), *by_row)
         .agg(F.max(F.struct("n_shared", "n_item")).alias("m"))
-        .select(id_col, item_col, "m.n_shared", F.col("m.n_item").cast("long").alias("n_item"))
+        .select(id_col, item_col, *([row_col] if row_col else []), "m.n_shared", F.col("m.n_item").cast("long").alias("n_item"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))
     )
     out = scratch.write(out, "result", keep=True)
@@ -132,12 +135,20 @@ def _hash_of_joined(part: Column) -> Column:
     return F.xxhash64(F.split(part, " "))
 
 
-def _result_schema(docs: DataFrame, items: DataFrame, id_col: str, item_col: str) -> str:
+def row_hash(text_col: str) -> Column:
+    """What tells rows with one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _result_schema(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, row_col: str | None) -> str:
     a, b = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    return f"`{id_col}` {a}, `{item_col}` {b}, n_shared long, n_item long, containment double"
+    row = f"`{row_col}` long, " if row_col else ""
+    return f"`{id_col}` {a}, `{item_col}` {b}, {row}n_shared long, n_item long, containment double"
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, all columns."""
-    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, **how)
-    return drop_keys(docs, leaks, {id_col: id_col}, Scratch(docs.sparkSession, "decontam"))
+    """The rows of ``docs`` in which no item is found, all columns; null and repeated ids are judged row by row."""
+    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, row_col="__row", **how)
+    keyed = docs.withColumn("__row", row_hash(text_col))
+    on = {id_col: id_col, "__row": "__row"}
+    return drop_keys(keyed, leaks, on, Scratch(docs.sparkSession, "decontam")).select(*docs.columns)

@@ -42,9 +42,13 @@ PACK_CELLS = 2_000_000
 PIECE = 1 << 20
 
 
-def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Rows of two kinds: (id, key, n) of each document; (null, column, hits) of columns frequent in a piece."""
+def set_table(docs: DataFrame, id_col: str, text_col: str, k: int, row_col: str | None = None) -> DataFrame:
+    """Rows of two kinds: (id, key, n) of each document; (null, column, hits) of columns frequent in a piece.
+
+    With ``row_col``, a long, documents have it as ``row``.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    more, form = ([row_col], ", `row` long") if row_col else ([], "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,8 +56,8 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 rows = part.num_rows
                 s = shingle_sets(part.column(1).to_pylist(), k)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(s.key.view(np.int64)), pa.array(s.size), pa.array([False] * rows)],
-                    names=["id", "key", "n", "column"],
+                    [part.column(0), pa.array(s.key.view(np.int64)), pa.array(s.size), pa.array([False] * rows), *part.columns[2:]],
+                    names=["id", "key", "n", "column", *["row" for _ in more]],
                 )
                 cols, hits = np.unique(s.flat, return_counts=True)
                 often = hits > max(1, HEAVY_SHARE * rows)
@@ -64,11 +68,12 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                         pa.array(cols[often].view(np.int64)),
                         pa.array(hits[often].astype(np.int64)),
                         pa.array([True] * m, pa.bool_()),
+                        *[pa.nulls(m, pa.int64()) for _ in more],
                     ],
-                    names=["id", "key", "n", "column"],
+                    names=["id", "key", "n", "column", *["row" for _ in more]],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, key long, n long, `column` boolean")
+    return docs.select(id_col, text_col, *more).mapInArrow(run, f"id {kind}, key long, n long, `column` boolean{form}")
 
 
 def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> DataFrame:
@@ -255,6 +260,7 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     block_cells: int = BLOCK_CELLS,
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, ``n_shingles``, ``class_id``, ``class_size``, ``component_id``) for every row.
 
@@ -263,14 +269,18 @@ def jaccard_components(
     set, ``component_id`` the smallest id reachable over links. Null, blank and empty texts
     have no shingles and are alone, each its own class. Repeated rows share a class; rows
     that repeat an id with another text are each compared, under that id. An empty table gives no rows;
-    other columns are not read. ``num / den`` must be over one half.
+    other columns are not read. ``num / den`` must be over one half. With ``row_col``, a long
+    that tells rows with one id apart, that column and ``first`` (``no_id``, ``id``, ``row``) are added:
+    the component's smallest row, nulls of the id last; null for rows without shingles.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    rows = scratch.write(set_table(docs, id_col, text_col, k), "sets")
-    sets = rows.where("NOT `column`").select("id", "key", "n")
+    rows = scratch.write(set_table(docs, id_col, text_col, k, row_col), "sets")
+    more = ["row"] if row_col else []
+    sets = rows.where("NOT `column`").select("id", "key", "n", *more)
+    first = [F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")] if row_col else []
     classes = scratch.write(
-        sets.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes"
+        sets.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), *first), "classes"
     )
     cells = classes.agg(F.sum("n")).first()[0] or 0
     n_blocks = int(min(65_536, max(1, -(-cells // block_cells))))
@@ -293,14 +303,16 @@ def jaccard_components(
     labels = _link(alive, num, den, scratch)
 
     joined = classes.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    roots = joined.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    classes = joined.join(roots, "comp").select("key", "n", "class_id", "class_size", "component_id")
+    roots = joined.groupBy("comp").agg(F.min("class_id").alias("component_id"), *[F.min("first").alias("least") for _ in more])
+    firsts = [F.col("least").alias("first") for _ in more]
+    classes = joined.join(roots, "comp").select("key", "n", "class_id", "class_size", "component_id", *firsts)
     out = sets.join(classes, ["key", "n"], "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("component_id", "id").alias("component_id"),
+        *[c for _ in more for c in (F.col("row").alias(row_col), F.col("first"))],
     )
     out = scratch.write(out, "result", keep=True)
     scratch.clear()

@@ -111,3 +111,28 @@ def test_added_tokens_in_texts(spark, tmp_path):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows go by id and text: clean rows stay beside a near copy or a leak under their id, and one row of a component stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    item = " ".join(f"q{i}" for i in range(12))
+
+    def table(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def left(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    rows = [(1, a), (None, a + " x"), (None, b), (None, None), (None, None), (5, c + " x"), (5, c), (5, d), (7, a + " y"), (7, "other words that stay"), (8, " "), (8, " "), (9, "twice"), (9, "twice")]
+    got = left(corpus_pipeline.near_copies(spark, table(rows), SF))
+    kept = [r for r in got if r[0] == 5 and r[1] != d]
+    assert len(kept) == 1 and kept[0] in rows
+    assert [r for r in got if r not in kept] == sorted([(1, a), (None, b), (None, None), (None, None), (5, d), (7, "other words that stay"), (8, " "), (8, " "), (9, "twice")], key=str)
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, a), (None, "x " + item), (None, None), (3, b), (3, item + " y"), (4, c)]
+    want = sorted([(None, a), (None, None), (3, b), (4, c)], key=str)
+    assert left(corpus_pipeline.benchmark_leaks(spark, table(rows), str(tmp_path))) == want
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert left(corpus_pipeline.benchmark_leaks(spark, table(rows), f"{tmp_path}/none")) == sorted(rows, key=str)
