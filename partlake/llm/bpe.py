@@ -44,13 +44,34 @@ def split_safely(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def encode_runs(enc, text: str) -> Iterator[np.ndarray]:
+    """Ids of a piece without a safe boundary, match by match.
+
+    The library's pattern engine keeps a state for each character of a white-space run and
+    gives up on very long ones; here the matches are found first, and each is merged by itself,
+    which is what the library does with it.
+    """
+    for m in regex.compile(enc._pat_str).finditer(text):
+        yield np.asarray(enc._encode_single_piece(m.group()), dtype="<u4")
+
+
 def encode_text(enc, text: str, size: int = PIECE_CHARS) -> np.ndarray:
     """Ids of a whole text as little-endian unsigned 32-bit integers."""
     if not text:
         return np.zeros(0, "<u4")
-    if len(text) <= size:
-        return np.asarray(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in split_safely(text, size)])
+    out: list[np.ndarray] = []
+    for p in split_safely(text, size):
+        if len(p) <= 2 * size:
+            out.append(np.asarray(enc.encode_ordinary(p), dtype="<u4"))
+            continue
+        held: list[np.ndarray] = []
+        for ids in encode_runs(enc, p):  # joined now and then: matches may be short and many
+            held.append(ids)
+            if len(held) == 4096:
+                out.append(np.concatenate(held))
+                held.clear()
+        out += held
+    return np.concatenate(out)
 
 
 def decode_ids(enc, ids: np.ndarray, size: int = 1 << 18) -> bytes:
@@ -65,7 +86,7 @@ def encode_column(
 
     Null and empty texts give empty binaries. Each row is treated by itself: repeated
     ids and texts stay as they are, other columns are not read. Texts of any length are
-    encoded whole. ``rank_file`` must be readable at the same path on every executor.
+    encoded whole, long runs of blanks, letters or signs among them; an empty table gives no rows. ``rank_file`` must be readable at the same path on every executor.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -263,6 +263,26 @@ def test_bpe_safe_boundaries():
             assert bpe.encode_text(enc, t, size).tolist() == enc.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\t", "a", "!", "1", "a1!", "\u00e9", "\u65e5"])
+def test_bpe_long_runs(spark, unit):
+    """Runs without a safe boundary: short ones against the library, very long ones by round trip and by their regular ids."""
+    enc = bpe.load_encoding(RANKS, P.PATTERN)
+    for tail in ("", "x", " x", "\nx y"):
+        t = "word " + unit * 3_000 + tail
+        assert bpe.encode_text(enc, t, 64).tolist() == enc.encode_ordinary(t)
+    n = 2_000_000 // len(unit)
+    got = bpe.encode_text(enc, unit * n + "end")
+    assert bpe.decode_ids(enc, got).decode() == unit * n + "end"
+    # a match merges alike wherever it stands: the ids of the run repeat
+    few = enc.encode_ordinary(unit * 4096)
+    assert got[: len(few) // 2].tolist() == few[: len(few) // 2]
+
+
+def test_bpe_long_run_in_spark(spark):
+    rows = bpe.encode_column(spark.createDataFrame([(1, " " * 2_000_000), (2, "a b")], "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    assert sorted((r.doc_id, len(r.ids) // 4) for r in rows)[1] == (2, 2) and len(rows) == 2
+
+
 # --- HTML ----------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div>Site name</div><nav><ul><li><a href="/x">Home</a></li></ul></nav></header>
