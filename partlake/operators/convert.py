@@ -18,7 +18,7 @@ def vendor_number() -> Column:
     """The vendor's number from a decoded row joined to its rule row."""
     tail = F.concat("insert", "contact", "key")
     forms = {
-        "prefix": F.concat("style", "finish", F.lit("-"), "size_number", F.lit("-"), tail),
+        "prefix": F.concat("style", "size_number", F.lit("-"), tail),
         "letter": F.concat("base", "style", "class", "size", tail),
         "BL": F.concat("base", "style", "finish", "size_number", F.lit("-"), tail),
         "base": F.concat("base", F.lit("-"), "style", "finish", "size_padded", F.lit("-"), tail),

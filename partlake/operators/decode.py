@@ -46,7 +46,7 @@ def parse_strict(df: DataFrame, col: str = "raw_pn") -> DataFrame:
     ).drop("__pn", "__sheet", "__g")
 
 
-#: Grammars in order of precedence; groups are named by the lists below.
+# --- fixed values: grammars in order of precedence, with the names of their groups
 GRAMMARS = [
     ("standard", r"^D38999/(\d{2})([A-Z])([A-Z]{1,2})(\d{1,3})([A-Z])([A-Z])$", ["sheet", "class", "size", "insert", "contact", "key"]),
     ("lanyard", r"^D38999/(31|36)([A-Z])([A-Z])(\d{1,3})([A-Z])([A-Z])(\d)$", ["sheet", "class", "lanyard", "insert", "contact", "key", "type"]),

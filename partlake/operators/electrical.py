@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from partlake import refdata as R
 
 
+#: Knots with their factors in hundredths.
+KNOTS = [(n, round(f * 100)) for n, f in R.DERATING]
+
+
 def derating(n: Column) -> Column:
     """Share of the single-contact rating, linear between the knots; 1 up to one contact, the last factor beyond them."""
-    out = F.lit(R.DERATING[-1][1] / 100)
-    for (a, fa), (b, fb) in reversed(list(zip(R.DERATING, R.DERATING[1:]))):
+    out = F.lit(R.DERATING[-1][1])
+    for (a, fa), (b, fb) in reversed(list(zip(KNOTS, KNOTS[1:]))):
         line = (F.lit(fa * (b - a)) - (n - a) * (fa - fb)) / F.lit(100 * (b - a))
         out = F.when(n <= b, line).otherwise(out)
     return F.when(n <= 1, F.lit(1.0)).otherwise(out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partlake import refdata as R
 
-#: Environments of every connector, with their suitability.
+# --- fixed values: environments of every connector with their suitability, and those by salt-spray hours
 ALWAYS = [
     ("aerospace_general", "recommended"), ("aircraft_fixed_wing", "recommended"), ("land_general", "recommended"),
     ("land_military", "recommended"), ("land_vehicle", "acceptable"), ("desert_dust", "conditional"), ("high_vibration", "recommended"),

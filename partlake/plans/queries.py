@@ -60,7 +60,7 @@ FORWARD = f"""
   rule({RULE_COLS}) AS (VALUES {R.values(R.rule_rows())}),
   converted AS (
     SELECT parsed.*, rule.*, CASE fmt
-        WHEN 'prefix' THEN style || finish || '-' || size_number || '-' || "insert" || contact || key
+        WHEN 'prefix' THEN style || size_number || '-' || "insert" || contact || key
         WHEN 'letter' THEN base || style || class || size || "insert" || contact || key
         WHEN 'BL' THEN base || style || finish || size_number || '-' || "insert" || contact || key
         WHEN 'base' THEN base || '-' || style || finish || size_padded || '-' || "insert" || contact || key
@@ -364,7 +364,7 @@ def profile_best(spark, sf_dir):
 # --- electrical ----------------------------------------------------------------------
 def _derate_sql(n: str) -> str:
     steps = [f"WHEN {n} <= 1 THEN 1.0::DOUBLE"]
-    for (a, fa), (b, fb) in zip(R.DERATING, R.DERATING[1:]):
+    for (a, fa), (b, fb) in zip(electrical.KNOTS, electrical.KNOTS[1:]):
         steps.append(f"WHEN {n} <= {b} THEN ({fa * (b - a)} - ({n} - {a}) * {fa - fb})::DOUBLE / {100 * (b - a)}")
     return "(CASE " + " ".join(steps) + " ELSE 0.45::DOUBLE END)"
 
