@@ -16,6 +16,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,105 +26,162 @@ from partlake.llm.batches import slices_by_bytes
 from partlake.llm.sampling import bounded_sample
 
 #: Elements that never hold main text, with all they enclose.
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas form button select textarea".split())
+SILENT = frozenset("script style noscript template head title svg math iframe object canvas button select textarea".split())
 #: Silent elements whose content is skipped up to their end tag as it stands.
 RAW = frozenset("script style textarea title iframe noscript template".split())
+#: Silent elements that cannot hold a block: one ends them.
+PHRASING = frozenset("button select".split())
 #: What a head can hold; anything else ends it.
 HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Blocks that end a drawing or formula when they start in it, other than in a part for foreign content.
 BREAKOUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 li menu ol p pre table ul".split())
 FOREIGN = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Sections whose edges bind the blocks inside.
-SECTIONS = frozenset("article main section aside nav header footer div ul ol dl table dialog details figure".split())
+SECTIONS = frozenset("article main section aside nav header footer div ul ol dl table dialog details figure form".split())
 #: An open paragraph ends where one of these starts.
 ENDS_P = BLOCKS - {"html", "body"} | {"hr"}
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
+#: Elements that the start of the key ends, up to its container.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 
+#: A quote opens a string only after an equals sign; elsewhere in a tag it is a letter like others.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _WHITE = re.compile(r"\s+")
 
-#: Parts of class, id and role names that mark boilerplate, and such that mark content.
+#: Words that mark boilerplate wherever they stand in a class, id or role.
 BAD_WORDS = frozenset(
-    "ad ads advert advertisement advertising adsbygoogle banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "copyright disqus foot footer gdpr head header legal links login masthead menu meta nav navbar navigation navigationbar "
-    "newsletter notice notices notification outbrain pagination popup promo promotion related replies reply respond search share "
-    "sharing shop sidebar signup site sitemap social sponsor sponsored sticky subscribe taboola teaser toolbar toc widget "
-    "complementary contentinfo dialog alert".split()
+    "ad ads advert advertisement advertising adsbygoogle breadcrumb breadcrumbs comment comments cookie cookies copyright disqus "
+    "footer gdpr masthead menu nav navbar navigation newsletter outbrain pagination popup promo sidebar sitemap sponsored taboola toolbar "
+    "complementary contentinfo alert".split()
+)
+#: Words that mark it as the last word of a name alone: ``article-share`` is boilerplate, ``share-history`` need not be.
+BAD_HEADS = BAD_WORDS | frozenset(
+    "banner consent dialog foot head header legal login meta notice notices notification promotion related replies reply respond "
+    "search share sharing shop signup site social sponsor sticky subscribe teaser toc widget".split()
 )
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text prose".split())
+#: Words at the end of a name that say nothing of what it holds.
+PLAIN_WORDS = frozenset("area bar block box bottom buttons button container form group holder inner item items left links list module outer panel right row slot top unit wrap wrapper".split())
+
+IN_ARTICLE, IN_MAIN, IN_NAV, IN_HEADER, IN_FOOTER, IN_ASIDE, IN_LIST, IN_TABLE, HEADING, BAD, GOOD, INNER, DIALOG, LINK = (1 << i for i in range(14))
+_BITS = (
+    {"article": IN_ARTICLE, "main": IN_MAIN, "nav": IN_NAV, "menu": IN_NAV, "header": IN_HEADER, "footer": IN_FOOTER, "aside": IN_ASIDE}
+    | {"li": IN_LIST, "table": IN_TABLE, "dialog": DIALOG, "a": LINK}
+    | {h: HEADING for h in HEADINGS}
+)
+_INNER_TAGS = IN_NAV | IN_ASIDE | IN_FOOTER | DIALOG
 
 
-@dataclass
+@lru_cache(maxsize=4096)
+def name_bits(names: str) -> int:
+    """What the names in an attribute say: boilerplate, content, both or nothing."""
+    out = 0
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if BAD_WORDS & set(words):
+            out |= BAD
+            continue
+        while len(words) > 1 and words[-1] in PLAIN_WORDS:
+            words.pop()
+        if words and words[-1] in BAD_HEADS:
+            out |= BAD
+        elif words and words[-1] in GOOD_WORDS:
+            out |= GOOD
+    return out
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[int, ...]  # enclosing sections, outermost first
+    section: int  # the innermost enclosing section, 0 for none
+    depth: int  # number of enclosing sections
+    common: int  # how many of them enclose the block before, too
+    form: int  # the enclosing form, 0 for none
     features: list[float]
 
 
 FEATURES = [
     "bias", "in article", "in main", "in nav", "in header", "in footer", "in aside", "in list", "in table", "heading",
-    "bad name", "good name", "link share", "log words", "sentence end", "bad name inside article", "dialog", "position",
+    "bad name", "good name", "link share", "log words", "sentence end", "bad name inside article", "dialog", "position", "beside article",
 ]
 
 
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    section: int
+    depth: int
+    bits: int  # what this element and all around it say
+    form: int
+
+
 def page_blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order. White space is one blank, references are decoded, silent elements are gone.
 
-    A head ends where a text or an element starts that it cannot hold. Another silent element
-    without its end tag ends where a block around it closes; if no such end tag follows in the
-    page, also at the next block; a drawing or formula at the next block anyway.
+    A head ends where a text or an element starts that it cannot hold; a button or a list of
+    options where a block starts or ends. Another silent element without its end tag ends where
+    a block around it closes; if no such end tag follows in the page, also at the next block; a
+    drawing or formula at the next block anyway. A form's blocks are gone, too, unless it is
+    laid around the page: it holds an article, a main part or a first heading, or over half of
+    the page's text in sentences. A form inside a form counts as part of it. Work grows with
+    the length of the page, however deep it is nested.
     """
     if not page:
         return []
-    stack: list[tuple[str, int, frozenset]] = []  # element, section number (0: none), name words
+    stack: list[_Open] = []
+    opened: dict[str, int] = {}  # how many of each element are in the stack
     out: list[Block] = []
     text: list[str] = []
-    linked = 0
-    state = {"n": 0}
+    linked, sections, forms, shared = 0, 0, 0, 0  # shared: sections that stayed open since the last block
+    wrapping: set[int] = set()  # forms around a page
+    none = _Open("", 0, 0, 0, 0)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shared
         t = _WHITE.sub(" ", "".join(text)).strip()
         text.clear()
         n, linked = linked, 0
         if not t:
             return
-        tags = [s[0] for s in stack]
-        names = [s[2] for s in stack]
-        root = max((i for i, x in enumerate(tags) if x in ("article", "main")), default=-1)
-        bad = any(x & BAD_WORDS for x in names if x)
-        inner = any(x & BAD_WORDS for x in names[root + 1 :] if x) if root >= 0 else False
-        inner |= root >= 0 and any(x in ("nav", "aside", "footer", "dialog") for x in tags[root + 1 :])
+        top = stack[-1] if stack else none
+        b = top.bits
         f = [
-            1.0, float("article" in tags), float("main" in tags and "article" not in tags), float("nav" in tags or "menu" in tags), float("header" in tags),
-            float("footer" in tags), float("aside" in tags), float("li" in tags), float("table" in tags),
-            float(any(x in ("h1", "h2", "h3", "h4", "h5", "h6") for x in tags)), float(bad), float(any(x & GOOD_WORDS for x in names if x)),
-            min(1.0, n / max(1, len(t))), math.log1p(len(t.split())) / 5, float(t[-1] in ".!?:;\"”»"), float(inner),
-            float("dialog" in tags), 1 / (1 + len(out)),
+            1.0, float(b & IN_ARTICLE > 0), float(b & (IN_MAIN | IN_ARTICLE) == IN_MAIN), float(b & IN_NAV > 0), float(b & IN_HEADER > 0),
+            float(b & IN_FOOTER > 0), float(b & IN_ASIDE > 0), float(b & IN_LIST > 0), float(b & IN_TABLE > 0), float(b & HEADING > 0),
+            float(b & BAD > 0), float(b & GOOD > 0), min(1.0, n / max(1, len(t))), math.log1p(len(t.split())) / 5,
+            float(t[-1] in ".!?:;\"”»"), float(b & INNER > 0), float(b & DIALOG > 0), 1 / (1 + len(out)), 0.0,
         ]
-        out.append(Block(t, tuple(s[1] for s in stack if s[1]), f))
+        out.append(Block(t, top.section, top.depth, shared, top.form, f))
+        shared = top.depth
 
     def close(i: int) -> None:
-        if any(s[0] in BLOCKS for s in stack[i:]):
+        nonlocal shared
+        if any(x.tag in BLOCKS for x in stack[i:]):
             flush()
+        for x in stack[i:]:
+            opened[x.tag] -= 1
         del stack[i:]
+        shared = min(shared, stack[-1].depth if stack else 0)
 
     def ends_silence(tag: str, closing: bool) -> bool:
         """Whether a tag in the silent element shows that this was over before it."""
         kind, inner = silent
         if kind == "head":
             return tag in ("body", "html", "br") if closing else tag not in HEAD
+        if kind in PHRASING and tag in BLOCKS:
+            return True
         if closing:
-            return tag in ("body", "html") or tag in BLOCKS and tag not in inner and any(x[0] == tag for x in stack)
+            return tag in ("body", "html") or tag in BLOCKS and tag not in inner and opened.get(tag, 0) > 0
         if kind in ("svg", "math") and tag in BREAKOUT and not FOREIGN & set(inner):
             return True
         return tag in BLOCKS and last_end(kind) < m.start()
@@ -135,6 +193,17 @@ def page_blocks(page: str | None) -> list[Block]:
             ends[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
         return ends[tag]
 
+    def up_to(tags: tuple[str, ...], stop) -> int:
+        """Place of the innermost of the elements, -1 if an element of ``stop`` is further in."""
+        if not any(opened.get(t, 0) for t in tags):
+            return -1
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].tag in tags:
+                return i
+            if stack[i].tag in stop:
+                return -1
+        return -1
+
     pos, silent = 0, None  # silent: the element, and the elements open in it
     while m := _TOKEN.search(page, pos):
         if silent is not None and silent[0] == "head" and page[pos : m.start()].strip():
@@ -142,7 +211,7 @@ def page_blocks(page: str | None) -> list[Block]:
         if silent is None and m.start() > pos:
             t = html_lib.unescape(page[pos : m.start()])
             text.append(t)
-            if any(s[0] == "a" for s in stack):
+            if stack and stack[-1].bits & LINK:
                 linked += len(t.strip())
         pos = m.end()
         if m[2] is None:
@@ -163,9 +232,9 @@ def page_blocks(page: str | None) -> list[Block]:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos) if last_end(tag) >= pos else None
                 if end or tag not in ("noscript", "template"):
                     pos = end.end() if end else len(page)
-            elif tag == kind and tag in ("select", "button"):  # the one before was not closed
+            elif tag == kind and tag in PHRASING:  # the one before was not closed
                 inner.clear()
-            elif kind != "head" and tag not in VOID and not (tag == kind == "form") and not (foreign and alone):
+            elif kind != "head" and tag not in VOID and not (foreign and alone):
                 inner.append(tag)
             continue
         if not closing and tag in SILENT:
@@ -186,55 +255,77 @@ def page_blocks(page: str | None) -> list[Block]:
                 text.append(" ")
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in SECTIONS and tag not in BLOCKS:
-                    break
+            at = up_to((tag,), () if tag in BLOCKS else SECTIONS)
+            if at >= 0:
+                close(at)
+            continue
+        if tag == "form" and opened.get("form", 0):
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    # formatting left open in a paragraph ends with it
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            at = up_to(("p",), BLOCKS - {"p"})
+            if at >= 0:
+                close(at)  # formatting left open in a paragraph ends with it
         if tag in SAME:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag or (tag in ("dt", "dd") and stack[i][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[i][0] in ("td", "th")):
-                    close(i)
-                    break
-                if stack[i][0] in SAME[tag]:
-                    break
+            at = up_to(SIBLINGS[tag], SAME[tag])
+            if at >= 0:
+                close(at)
         if tag in BLOCKS:
             flush()
-        names: set[str] = set()
+        around = stack[-1] if stack else none
+        own = _BITS.get(tag, 0)
         if m[3]:
             for a in _ATTR.finditer(m[3]):
                 key = a[1].lower()
                 if key in ("class", "id", "role", "itemprop", "aria-label"):
-                    names.update(_WORDS.findall((a[2] or a[3] or a[4] or "").lower()))
+                    own |= name_bits(a[2] or a[3] or a[4] or "")
                 elif key == "hidden" and tag in BLOCKS:
-                    names.add("popup")
-        n = 0
+                    own |= BAD
+        bits = around.bits | own
+        if tag in ("article", "main"):
+            bits &= ~INNER
+            wrapping.add(around.form)
+        elif tag == "h1":
+            wrapping.add(around.form)
+        elif bits & (IN_ARTICLE | IN_MAIN) and (own & BAD or own & _INNER_TAGS):
+            bits |= INNER
+        section, depth, form = around.section, around.depth, around.form
         if tag in SECTIONS:
-            state["n"] += 1
-            n = state["n"]
-        stack.append((tag, n, frozenset(names)))
+            sections += 1
+            section, depth = sections, depth + 1
+        if tag == "form":
+            forms += 1
+            form = forms
+        stack.append(_Open(tag, section, depth, bits, form))
+        opened[tag] = opened.get(tag, 0) + 1
     if pos < len(page) and (silent is None or silent[0] == "head" and page[pos:].strip()):
         text.append(html_lib.unescape(page[pos:]))
     flush()
-    return out
-
+    if any(b.features[1] or b.features[2] for b in out):
+        for b in out:
+            b.features[-1] = 1.0 - max(b.features[1], b.features[2])
+    return _without_forms(out, wrapping) if forms else out
+
+
+def _without_forms(blocks: list[Block], wrapping: set[int]) -> list[Block]:
+    """Blocks outside forms, or in a form that is laid around the page."""
+    chars: dict[int, int] = {}
+    for b in blocks:
+        if b.form and len(b.text.split()) >= 8 and b.features[FEATURES.index("sentence end")] and b.features[FEATURES.index("link share")] < 0.5:
+            chars[b.form] = chars.get(b.form, 0) + len(b.text)
+    half = sum(len(b.text) for b in blocks) / 2
+    kept, common = [], None
+    for b in blocks:
+        b.common = b.common if common is None else min(common, b.common)
+        if b.form and b.form not in wrapping and chars.get(b.form, 0) <= half:
+            common = b.common
+            continue
+        common = None
+        kept.append(b)
+    return kept
 
-def minimum_cut(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """True for the nodes on the source's side of a minimum cut (Edmonds-Karp on a sparse graph).
 
-    ``content[i]`` is the capacity from the source (lost when i is called boilerplate),
-    ``boiler[i]`` that to the sink; edges count in both directions.
-    """
+def _max_flow(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The source's side of a minimum cut by shortest augmenting paths (Edmonds-Karp)."""
     n = len(content)
     s, t = n, n + 1
     to: list[list[int]] = [[] for _ in range(n + 2)]
@@ -277,22 +368,74 @@ def minimum_cut(content: list[float], boiler: list[float], edges: list[tuple[int
             cap[e ^ 1] += flow
 
 
+def minimum_cut(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """True for the nodes on the source's side of a minimum cut.
+
+    ``content[i]`` is the capacity from the source (lost when i is called boilerplate),
+    ``boiler[i]`` that to the sink; edges count in both directions. A node with two neighbours
+    or fewer is taken out first: the least cost over its side, as a function of its neighbours'
+    sides, is again terminal capacities and one edge between them, so the cut of the rest is
+    the cut of the whole. Page order with edges back to a section's earlier block nests like
+    brackets and is taken out whole by this, in linear time; any other rest goes to max-flow.
+    """
+    n = len(content)
+    u = [b - c for c, b in zip(content, boiler)]  # cost of calling a node content, less that of boilerplate
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for a, b, x in edges:
+        if a != b:
+            near[a][b] = near[a].get(b, 0.0) + x
+            near[b][a] = near[b].get(a, 0.0) + x
+    gone: list[tuple[int, dict[int, float]]] = []
+    left = [True] * n
+    ready = [i for i in range(n) if len(near[i]) <= 2]
+    while ready:
+        v = ready.pop()
+        if not left[v] or len(near[v]) > 2:
+            continue
+        left[v] = False
+        gone.append((v, near[v]))
+        ends = list(near[v].items())
+        for a, _ in ends:
+            del near[a][v]
+        if len(ends) == 1:
+            (a, w), x = ends[0], u[v]
+            u[a] += min(w, x) - min(0.0, x + w)
+        elif len(ends) == 2:
+            (a, wa), (b, wb) = ends
+            none, first, second, both = min(0.0, u[v] + wa + wb), min(wa, u[v] + wb), min(wb, u[v] + wa), min(wa + wb, u[v])
+            between = (first + second - none - both) / 2
+            u[a] += first - none - between
+            u[b] += second - none - between
+            if between > 0:
+                near[a][b] = near[a].get(b, 0.0) + between
+                near[b][a] = near[b].get(a, 0.0) + between
+        ready += [a for a, _ in ends if len(near[a]) <= 2]
+    side = [False] * n
+    rest = [i for i in range(n) if left[i]]
+    if rest:
+        at = {v: k for k, v in enumerate(rest)}
+        inner = [(at[a], at[b], w) for a in rest for b, w in near[a].items() if a < b]
+        for v, x in zip(rest, _max_flow([max(0.0, -u[v]) for v in rest], [max(0.0, u[v]) for v in rest], inner)):
+            side[v] = x
+    for v, ends in reversed(gone):
+        x = u[v] + sum(-w if side[a] else w for a, w in ends.items())
+        side[v] = x < -1e-9
+    return side
+
+
 def smoothness_edges(blocks: list[Block], strength: float) -> list[tuple[int, int, float]]:
     """Neighbours in page order, weighted by the share of enclosing sections in common; equal sections bind most."""
     out = []
-    for i in range(len(blocks) - 1):
-        a, b = blocks[i].path, blocks[i + 1].path
-        common = 0
-        while common < min(len(a), len(b)) and a[common] == b[common]:
-            common += 1
-        near = (1 + common) / (1 + max(len(a), len(b)))
-        out.append((i, i + 1, strength * near * near))
-    last: dict[tuple, int] = {}
+    for i in range(1, len(blocks)):
+        a, b = blocks[i - 1], blocks[i]
+        near = (1 + b.common) / (1 + max(a.depth, b.depth))
+        out.append((i - 1, i, strength * near * near))
+    last: dict[int, int] = {}
     for i, x in enumerate(blocks):  # the section's previous block, when others stand between
-        j = last.get(x.path)
+        j = last.get(x.section)
         if j is not None and j < i - 1:
             out.append((j, i, strength))
-        last[x.path] = i
+        last[x.section] = i
     return out
 
 
@@ -318,7 +461,7 @@ _PRIOR = [
     ({"in main", "bad name", "bad name inside article"}, 0, 60), ({"in main", "in footer", "bad name inside article"}, 0, 60),
     ({"in article", "in list", "bad name", "bad name inside article"}, 0, 40), ({"good name", "bad name"}, 0, 20),
     ({"in article", "good name", "bad name", "bad name inside article"}, 0, 60), ({"in article", "dialog", "bad name inside article"}, 0, 60),
-    ({"in article", "in footer"}, 0, 20), ({"in article", "in nav"}, 0, 20), ({"in article", "in aside"}, 0, 20), (set(), 1, 5),
+    ({"in article", "in footer"}, 0, 20), ({"in article", "in nav"}, 0, 20), ({"in article", "in aside"}, 0, 20), (set(), 1, 5), ({"beside article"}, 0, 20),
 ]
 
 
@@ -346,7 +489,7 @@ def fit_weights(pages: list[str], rounds: int = 300, ridge: float = 0.004) -> np
             for end in (0.0, 1.0):
                 f = [0.0] * len(FEATURES)
                 f[0], f[at["log words"]], f[at["sentence end"]] = 1.0, words, end
-                f[at["link share"]] = 0.0 if y else 0.5
+                f[at["link share"]] = (0.8 * end if "in article" in names else 0.0) if y else 0.5  # articles hold links, too
                 for x in names:
                     f[at[x]] = 1.0
                 rows.append(f)

@@ -316,7 +316,6 @@ def test_html_extraction(spark):
         "<div><form><div><script>a<b 'c</script><label>Mail</label></div></div><p>Kept one.</p><div title='x'><p>Kept two.</p><form>x</form></div>",
         "<div><div><select><option>A<option>B</div><p>Kept one.</p><select><option>C</select><p>Kept two.</p></div>",
         "<p>Kept one.<button>Press</p><p>Kept two.</p><button>x</button>",
-        "<body><form><input>Mail<article><p>Kept one.<p>Kept two.</article></body>",
         "<p>Kept one.<svg><path d='x'><text>Drawn</text><p>Kept two.</p><svg><path/><title/></svg>",
         "<p>Kept one.<svg><foreignObject><div>Drawn</div></foreignObject><style/><g/></svg><p>Kept two.",
         "<div><form><div><form></form></div></div><p>Kept one.<p>Kept two.",
@@ -328,6 +327,55 @@ def test_html_broken_silent_elements(page):
     assert [b.text for b in html_extract.page_blocks(page)] == ["Kept one.", "Kept two."]
 
 
+ART = "".join(f"<p>Paragraph number {i} of the story, with a few words more.</p>" for i in range(4))
+ART_TEXT = [f"Paragraph number {i} of the story, with a few words more." for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form id=f method=post><div class='header'><a href=/>Home</a></div><div class='content'>{ART}</div><div id=footer>Copyright x</div></form></body>", ART_TEXT),
+        (f"<body><form><article><h1>T</h1>{ART}</article></form>", ["T", *ART_TEXT]),
+        ("<body><form><input>Mail<article><p>Kept one.<p>Kept two.</article></body>", ["Kept one.", "Kept two."]),
+        ("<body><form><label>User</label><input><label>Password</label><p>Forgot?</p></form>", []),
+        (f"<article>{ART}<form><p>Get our letters, every week.</p><input></form></article>", ART_TEXT),
+        ("<article><p>One two three.</p><button>Share<p>Four five.</p><div>Six seven.</div></article><button>x</button>", ["One two three.", "Four five.", "Six seven."]),
+        ("<article><p>One two three.</p><form><input><form><input></form><p>Four five.</p></article>", ["One two three.", "Four five."]),
+        ("<article><p>One two three.</p><a onclick=it's>link</a><p>Four five, it's.</p></article>", ["One two three.", "link", "Four five, it's."]),
+        (f"<article><div class='social-content'>{ART}</div><section id='search-history'><p>Others, too.</p></section></article>", [*ART_TEXT, "Others, too."]),
+        (f"<article>{ART}<div class=comments><p>Nice article, thanks a lot.</p></div><div class='share-buttons'><a>Share</a></div></article>", ART_TEXT),
+        (f"<main><div class='related-links'><a href=x>Other story about things.</a></div><div class=post>{ART}</div></main><div class='cookie-content'>We use cookies.</div>", ART_TEXT),
+    ],
+)
+def test_html_forms_names_quotes(page, want):
+    assert html_extract.main_text(page, html_extract.fit_weights([])).split("\n") == (want or [""])
+
+
+def test_html_large_and_deep_pages():
+    """Work grows with the page: many blocks and deep nesting take seconds, not hours."""
+    import time
+
+    began = time.perf_counter()
+    w = html_extract.fit_weights([])
+    many = "<main>" + "".join(f"<div><p>Block {i} of the text.</p></div>" if i % 3 else f"<li><a href=x>link {i}</a>" for i in range(20_000))
+    assert html_extract.main_text(many, w).count("of the text.") == sum(1 for i in range(20_000) if i % 3)
+    deep = "<div>" * 10_000 + "<p>x y.</p>" + "</div><p>z</p>" * 10_000
+    assert len(html_extract.page_blocks(deep)) == 10_001
+    assert time.perf_counter() - began < 30
+
+
+def test_html_cut_of_nested_sections_needs_no_search(monkeypatch):
+    rng = random.Random(1)
+    page = "".join(rng.choice(["<div>", "</div>", "<p>a b c.", "<ul><li>x", "</ul>", "<section><p>t"]) for _ in range(3_000))
+    blocks = html_extract.page_blocks(page)
+    edges = html_extract.smoothness_edges(blocks, 0.5)
+    a, b = [rng.random() for _ in blocks], [rng.random() for _ in blocks]
+    cost = lambda x: sum(b[i] if x[i] else a[i] for i in range(len(a))) + sum(w for i, j, w in edges if x[i] != x[j])
+    by_flow = cost(html_extract._max_flow(a, b, edges))
+    monkeypatch.setattr(html_extract, "_max_flow", None)
+    assert len(blocks) > 1000 and abs(cost(html_extract.minimum_cut(a, b, edges)) - by_flow) < 1e-6
+
+
 def test_html_whole_pages(spark):
     import re
     from html import unescape
