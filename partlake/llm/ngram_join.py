@@ -1,18 +1,20 @@
 """N-gram Jaccard join by a blocked sparse product of the document by n-gram incidence.
 
-The incidence matrix is cut into blocks of columns (ranges of n-gram hashes). A block
-counts its columns; columns with one document cannot add to any overlap and go. What
-is left of a document bounds its overlap with every other, so documents with less than
-the least overlap their size asks for are discarded, which leaves few but the true near
-copies. Their columns are ordered from rare to frequent, and by size bounds a linked
-pair must meet in the first columns of both. Pairs that meet there are multiplied out:
-the sparse rows' dot product is the overlap.
-
-Copies are one row of the matrix. Groups of near copies are not expanded into pairs:
-each column first links its documents to one leader, linked documents become one
-component, and only pairs between different components are still open. The last round
-takes every such pair, so no link between components is missed, and what bounds the
-work is the number of links needed to join a group, not the square of its size.
+The incidence matrix is cut into blocks of columns (ranges of n-gram hashes). In a first
+sweep a block counts its columns; columns with one document cannot add to any overlap and
+go. What is left of a document bounds its overlap with every other, so documents with less
+than the least overlap their size asks for are discarded, which leaves few but the true near
+copies. In the product itself, a block multiplies its part of two rows and emits the partial
+overlap; the partial overlaps of a pair are summed over blocks, and pairs below the bound
+that follows from both sizes are discarded.
+
+Which entries of the product are asked for is bounded by sizes, too: columns are ordered
+from rare to frequent, and a linked pair must meet in the first columns of both. Copies are
+one row of the matrix. Groups of near copies are not expanded into pairs: each column first
+links its documents to one leader, linked documents become one component, and only pairs
+between different components are still open. The last round takes every such pair, so no
+link between components is missed, and what bounds the work is the number of links needed to
+join a group, not the square of its size.
 """
 
 from __future__ import annotations
@@ -29,17 +31,22 @@ from partlake.llm.components import connected_components
 from partlake.llm.scratch import Scratch
 from partlake.llm.shingles import shingle_sets
 
-#: Columns kept out of the blocks because a large share of all documents has them; and copies groups emitted once.
-HEAVY_COLUMNS, HEAVY_GROUPS = 4096, 1024
-#: Share of a piece's documents from which a column is a candidate for the heavy ones.
+#: Groups of copies that are emitted once: the largest ones.
+HEAVY_GROUPS = 1024
+#: Share of a piece's documents from which a column is a candidate for the heavy ones, and of all
+#: documents from which it is one. With m columns to a document there are m / HEAVY_SHARE at most.
 HEAVY_SHARE = 0.01
-#: Incidences in a block.
-BLOCK_CELLS = 2_000_000
+#: Incidences in a block of the first sweep.
+BLOCK_CELLS = 500_000
+#: Incidences of an average row, and of the longest one, in a block of the product.
+ROW_CELLS, LONGEST_CELLS = 256, 1 << 16
 LEADER_ROUNDS = 4
 #: Incidences that a task packs at once.
-PACK_CELLS = 2_000_000
+PACK_CELLS = 1_000_000
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
+#: Rows of a column compared with each other at once; a column with more is refined first.
+CHUNK = 512
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, k: int, row_col: str | None = None) -> DataFrame:
@@ -79,8 +86,8 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int, row_col: str
 def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> DataFrame:
     """A task's documents cut by block and packed, one row for each block and ``PACK_CELLS`` incidences.
 
-    ``cells`` has ``m`` column numbers of each document: the low 48 bits, or all 64 where
-    ``hot``, as heavy columns stay with a block of their document's own.
+    ``cells`` has ``m`` column numbers of each document: the low 48 bits, as the block has the
+    others, or all 64 where ``hot``, as heavy columns stay with a block of their document's own.
     """
     order = np.sort(np.array(heavy_cols, np.int64).view(np.uint64))
 
@@ -93,7 +100,7 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
             if is_hot:
                 block = (keys[o].view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
             else:
-                block = ((f >> np.uint64(48)).astype(np.int64) * n_blocks) >> 16
+                block = _block_of(f, n_blocks)
             by_block = np.argsort(block, kind="stable")
             f, o, block = f[by_block], o[by_block], block[by_block]
             start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -153,6 +160,11 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
     return slim.mapInArrow(run, "block int, hot boolean, key array<long>, n array<long>, m array<int>, cells binary")
 
 
+def _block_of(col: np.ndarray, n_blocks: int) -> np.ndarray:
+    """Blocks are equal ranges of the hashes' leading 32 bits."""
+    return ((col >> np.uint64(32)) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
+
+
 def _binaries(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary array over consecutive parts of ``data``."""
     offsets = np.concatenate([starts, ends[-1:]]).astype(np.int32)
@@ -194,7 +206,7 @@ def _shared_cells(n_dest: int):
                 del words
                 _, where, df = np.unique(col, return_inverse=True, return_counts=True)
                 df = df[where]
-                col |= np.uint64(key[0].as_py()) << np.uint64(48)
+                col |= np.uint64(key[0].as_py() & 0xFFFF) << np.uint64(48)
             more = df > 1
             own.append(np.repeat(np.arange(int(once.sum())), m[once])[more] + docs)
             cols.append(col[more].view(np.int64))
@@ -227,31 +239,56 @@ def _shared_cells(n_dest: int):
     return run
 
 
-def _whole_rows(num: int, den: int):
-    """For a destination: documents whose shared columns reach the least overlap their size asks for, rare columns first."""
+def _whole_rows(num: int, den: int, parts: int, deep: int):
+    """For a destination: documents whose shared columns reach the least overlap their size asks for.
+
+    A document gives a row for each block of the product where it has columns; ``s`` is the
+    number of its shared columns. The first of these rows, ``lead``, also has as ``head`` those of
+    its columns, from rare to frequent, of which a linked document must have one, and ``deep`` more.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
         keys, n, m = flat("key"), flat("n"), flat("m")
         which, first, doc = np.unique(keys, return_index=True, return_inverse=True)
         shared = np.bincount(doc, weights=m, minlength=len(which)).astype(np.int64)
-        kept = shared * den >= n[first] * num
+        size = n[first]
+        kept = shared * den >= size * num
         cell_doc = np.repeat(doc, m)
         here = kept[cell_doc]
         cols, df, cell_doc = flat("cols")[here], flat("df")[here], cell_doc[here]
         order = np.lexsort((cols, df, cell_doc))
-        ends = np.concatenate([[0], np.cumsum(shared[kept])]).astype(np.int32)
+        cols, cell_doc = cols[order], cell_doc[order]
+        rank = np.arange(len(cols)) - (np.cumsum(shared * kept) - shared * kept)[cell_doc]
+        most = (shared - -(-size * num // den) + 1 + deep)[cell_doc]
+        in_head = rank < most
+        head_ends = np.concatenate([[0], np.cumsum(np.bincount(cell_doc[in_head], minlength=len(which)))])
+        heads = cols[in_head]
+        part = (cols.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by_part = np.lexsort((part, cell_doc))
+        cols, cell_doc, part = cols[by_part], cell_doc[by_part], part[by_part]
+        start = np.flatnonzero(np.concatenate([[True], (cell_doc[1:] != cell_doc[:-1]) | (part[1:] != part[:-1])])) if len(cols) else np.zeros(0, np.int64)
+        d = cell_doc[start]
+        lead = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool)
+        head_sizes = np.where(lead, np.diff(head_ends)[d], 0) if len(d) else np.zeros(0, np.int64)
         return pa.table(
             {
-                "key": pa.array(which[kept]),
-                "n": pa.array(n[first][kept]),
-                "cols": pa.ListArray.from_arrays(pa.array(ends), pa.array(cols[order])),
+                "key": pa.array(which[d]),
+                "n": pa.array(size[d]),
+                "s": pa.array(shared[d]),
+                "lead": pa.array(lead),
+                "head": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(head_sizes)]).astype(np.int32)), pa.array(heads)),
+                "part": pa.array(part[start].astype(np.int32)),
+                "cols": pa.ListArray.from_arrays(pa.array(np.append(start, len(cols)).astype(np.int32)), pa.array(cols)),
             }
         )
 
     return run
 
 
+ROWS = "key long, n long, s long, lead boolean, head array<long>, part int, cols array<long>"
+
+
 def jaccard_components(
     docs: DataFrame,
     k: int = 4,
@@ -282,22 +319,21 @@ def jaccard_components(
     classes = scratch.write(
         sets.where("n > 0").groupBy("key", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), *first), "classes"
     )
-    cells = classes.agg(F.sum("n")).first()[0] or 0
-    n_blocks = int(min(65_536, max(1, -(-cells // block_cells))))
-    heavy_cols = [
-        r[0]
-        for r in rows.where("`column`").groupBy("key").agg(F.sum("n").alias("hits")).orderBy(F.desc("hits"), "key").limit(HEAVY_COLUMNS).collect()
-    ]
+    cells, longest, n_sets = classes.agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    cells, longest = cells or 0, longest or 0
+    n_blocks = max(1, -(-cells // block_cells))
+    often = rows.where("`column`").groupBy("key").agg(F.sum("n").alias("hits")).where(F.col("hits") > HEAVY_SHARE * n_sets)
+    heavy_cols = [r[0] for r in often.select("key").collect()]
     big = classes.orderBy(F.desc("class_size"), "key").limit(HEAVY_GROUPS).where("class_size > 2").collect()
     heavy_sets = {r["key"]: r["class_id"] for r in big}
 
-    n_dest = min(n_blocks, 64 + n_blocks // 8)
+    parts = int(max(1, -(-cells // max(1, n_sets) // ROW_CELLS), -(-longest // LONGEST_CELLS)))
     alive = (
         _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets)
         .groupBy("block")
-        .applyInArrow(_shared_cells(n_dest), PACKED)
+        .applyInArrow(_shared_cells(1 + n_blocks // 4), PACKED)
         .groupBy("dest")
-        .applyInArrow(_whole_rows(num, den), "key long, n long, cols array<long>")
+        .applyInArrow(_whole_rows(num, den, parts, refinements(num, den)), ROWS)
     )
     alive = scratch.write(alive, "rows")
     labels = _link(alive, num, den, scratch)
@@ -319,12 +355,18 @@ def jaccard_components(
     return out
 
 
+def refinements(num: int, den: int) -> int:
+    """Columns that two different linked sets share for sure, beside a first one."""
+    return max(0, min(3, num // (den - num) - 1)) if num < den else 3
+
+
 def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(key, comp) of the rows that link with another."""
-    own = F.col("n") - F.size("cols")  # columns of this row alone stand first in its order
-    first = F.col("n") - F.expr(f"({num} * n + {den - 1}) DIV {den}") + 1
-    prefix = F.slice("cols", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int"))
-    entries = alive.select("key", "n", F.size("cols").cast("long").alias("s"), F.posexplode(prefix).alias("pos", "col"))
+    deep = refinements(num, den)
+    # a row without its first ones has fewer columns than a linked row must share with it
+    first = f"CAST(s - ({num} * n + {den - 1}) DIV {den} + 1 AS INT)"
+    ahead = alive.where("lead").select("key", "n", "s", "head", F.expr(first).alias("first"))
+    entries = ahead.select("key", "n", "s", F.posexplode(F.slice("head", F.lit(1), F.col("first"))).alias("pos", "col"))
     entries = scratch.write(_can_link(entries, num, den), "prefixes")
 
     # every row meets the leader of each of its columns; what they share bounds what others can share with the row
@@ -357,9 +399,7 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
         if r < LEADER_ROUNDS:
             pairs = met.where("comp <> y.comp").select(F.struct(*_MEMBER).alias("x"), "y").where(_may_link(F.col("x"), F.col("y"), num, den))
         else:
-            before = alive.select("key", prefix.alias("prefix"))
-            met = met.join(before, "key").select("col", "comp", "c", *_MEMBER, F.slice("prefix", F.lit(1), F.col("pos")).alias("before"))
-            pairs = _open_pairs(met, num, den)
+            pairs = _open_pairs(met.join(ahead.select("key", "head", "first"), "key"), num, den, deep, scratch)
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         for t in tested:
             either = t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -375,12 +415,16 @@ _MEMBER = ("key", "n", "s", "o", "home", "h")
 
 
 def _products(pairs: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, overlap, linked): the dot products of the pairs' sparse rows."""
-    x = alive.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("cols").alias("cols_a"))
-    y = alive.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("cols").alias("cols_b"))
-    both = pairs.join(x, "a").join(y, "b")
-    both = both.withColumn("overlap", F.size(F.array_intersect("cols_a", "cols_b")).cast("long"))
-    return both.select("a", "b", "overlap", (den * F.col("overlap") >= num * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked"))
+    """(a, b, overlap, linked): the entries of the product at the pairs.
+
+    A block multiplies its columns of both rows; the partial overlaps are summed over blocks.
+    """
+    x = alive.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "part", F.col("cols").alias("cols_a"))
+    y = alive.select(F.col("key").alias("b"), F.col("n").alias("n_b"), "part", F.col("cols").alias("cols_b"))
+    both = pairs.join(x, "a").join(y, ["b", "part"])
+    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("cols_a", "cols_b")).cast("long").alias("partial"))
+    whole = partial.groupBy("a", "b").agg(F.sum("partial").alias("overlap"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return whole.select("a", "b", "overlap", (den * F.col("overlap") >= num * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("linked"))
 
 
 def _joined_labels(labels: DataFrame | None, seen: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -435,17 +479,44 @@ def _can_link(entries: DataFrame, num: int, den: int) -> DataFrame:
     return kept.join(cols, "col")
 
 
-def _open_pairs(at: DataFrame, num: int, den: int, chunk: int = 512) -> DataFrame:
-    """(x, y): all pairs of a column that are in different components and may link, by pairs of bounded chunks of them.
+def _open_pairs(at: DataFrame, num: int, den: int, deep: int, scratch: Scratch) -> DataFrame:
+    """(x, y): the pairs of a column that are in different components and may link.
 
-    A pair is made in the first column that both rows have (``before``: a row's columns ahead of
-    this one). Two rows that can link are in all their common columns here, as every bound by
+    Rows of a column with more than ``CHUNK`` of them are dealt by the next column they share:
+    linked rows share ``deep`` more columns within the first ones, so they meet again, and a
+    pair is only looked at among rows that agree in up to ``deep`` + 1 columns. Groups that stay
+    large are compared by pairs of bounded chunks. A pair is made at its first common columns
+    alone: the columns ahead of the last one (``before``), other than those of the group, are
+    not shared. Two rows that can link are in all their common columns here, as every bound by
     which an entry was left out holds for both.
     """
-    part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.expr(f"c DIV {chunk}")))
-    chunks = at.groupBy("col", part.alias("part")).agg(F.collect_list(F.struct(*_MEMBER, "comp", "before")).alias("xs"))
-    right = chunks.select("col", F.col("part").alias("part_2"), F.col("xs").alias("ys"))
-    met = chunks.join(right, "col").where("part <= part_2")
+    member = [*_MEMBER, "comp"]
+    groups = at.select(F.array("col").alias("cols"), "pos", "head", "first", *member)
+    out = None
+    for depth in range(deep + 1):
+        counted = groups.groupBy("cols").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        groups = scratch.write(groups.join(counted.select("cols", "c"), "cols"), "groups")
+        here = groups if depth == deep else groups.where(F.col("c") <= CHUNK)
+        pairs = _compared(here, member, num, den)
+        out = pairs if out is None else out.unionByName(pairs)
+        more = groups.where(F.col("c") > CHUNK).drop("c")
+        if depth == deep or not more.limit(1).count():
+            return out
+        after = F.slice("head", F.col("pos") + 2, F.greatest(F.col("first") + depth - F.col("pos"), F.lit(0)))
+        more = more.select("cols", "pos", "head", "first", *member, F.posexplode(after).alias("step", "next"))
+        cols, pos = F.concat("cols", F.array("next")).alias("cols"), (F.col("pos") + 1 + F.col("step")).alias("pos")
+        groups = more.select(cols, pos, "head", "first", *member)
+    return out
+
+
+def _compared(at: DataFrame, member: list[str], num: int, den: int) -> DataFrame:
+    """(x, y): pairs in a group that may link, by pairs of bounded chunks of it."""
+    before = F.array_except(F.slice("head", F.lit(1), F.col("pos")), "cols")
+    part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.expr(f"c DIV {CHUNK}")))
+    at = at.select("cols", part.alias("part"), *member, before.alias("before"))
+    chunks = at.groupBy("cols", "part").agg(F.collect_list(F.struct(*member, "before")).alias("xs"))
+    right = chunks.select("cols", F.col("part").alias("part_2"), F.col("xs").alias("ys"))
+    met = chunks.join(right, "cols").where("part <= part_2")
 
     def partners(x: Column) -> Column:
         fits = F.filter(

@@ -74,8 +74,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_column(_table(spark, sf_dir, "documents"), ranks, pattern)
-    return bpe.decode_column(encoded, ranks, pattern).select(
+    return bpe.round_trip_column(_table(spark, sf_dir, "documents"), ranks, pattern).select(
         "doc_id",
         F.expr("length(ids) DIV 4").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -246,6 +246,8 @@ def test_bpe_round_trip(spark, mixed):
     enc = bpe.load_encoding(RANKS, P.PATTERN)
     rows = bpe.decode_column(bpe.encode_column(docs_of(spark, texts), RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert len(rows) == len(texts)
+    at_once = bpe.round_trip_column(docs_of(spark, texts), RANKS, P.PATTERN).collect()
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in at_once) == sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in rows)
     for r in rows:
         t = texts[r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(t) and bytes(r.decoded) == t.encode()
@@ -437,6 +439,30 @@ def test_ngram_join(spark, mixed, k, num, den, cells):
     assert got == components_by_force(texts, k, num, den)
 
 
+def test_ngram_join_refines_large_columns(spark, monkeypatch):
+    """Columns with many rows that do not link are dealt by further shared columns, and rows are cut into many blocks."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "ROW_CELLS", 10)
+    rng = random.Random(5)
+    base = prose(rng, 120).split()
+    pool = [[f"v{i}x{j}" for j in range(4)] for i in range(30)]
+    texts = []
+    for _ in range(90):  # one template with slots: few pairs link, all share most columns
+        w = list(base)
+        for i in rng.sample(range(30), rng.randint(1, 9)):
+            w[4 * i] = rng.choice(pool[i])
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs_of(spark, texts), 4, 85, 100, block_cells=400).collect()}
+    assert got == components_by_force(texts, 4, 85, 100)
+
+
+def test_ngram_join_sums_partial_overlaps(spark):
+    rows = [(1, 6, 0, [1, 3, 5]), (1, 6, 1, [2, 4]), (2, 6, 0, [3, 5, 7]), (2, 6, 1, [2, 4]), (3, 6, 1, [2])]
+    alive = spark.createDataFrame(rows, "key long, n long, part int, cols array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert sorted(map(tuple, ngram_join._products(pairs, alive, 1, 2).collect())) == [(1, 2, 4, True), (1, 3, 1, False)]
+
+
 def test_ngram_join_small(spark):
     d = docs_of(spark, ["a b", "A  b", "b a", None, " "], ids=[7, 7, 8, 9, None])
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.class_size) for r in ngram_join.jaccard_components(d).collect())
