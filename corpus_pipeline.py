@@ -58,7 +58,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode_column(bpe.encode_column(docs, ranks, pattern), ranks, pattern)
+    decoded = bpe.round_trip_column(docs, ranks, pattern)
     return decoded.select(
         "doc_id",
         F.expr("length(ids) DIV 4").alias("n_tokens"),
