@@ -7,6 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 500
 
 
 def slices_by_bytes(batch: pa.RecordBatch, text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -19,3 +23,16 @@ def slices_by_bytes(batch: pa.RecordBatch, text: int, size: int = 4 << 20) -> It
         end = max(at + 1, int(np.searchsorted(upto, done + size)))
         yield batch.slice(at, end - at)
         at = end
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches to ``TEXT_ROWS`` rows.
+
+    Spark's default of 10,000 rows makes buffers of some 100 MB for each task out of
+    documents of a few KB, in the executor and in its Python workers. A lower setting of the
+    user's stays.
+    """
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+    return df

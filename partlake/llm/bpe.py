@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 
 #: Texts above this many characters are encoded piece by piece, so one text never needs all its ids as Python objects.
 PIECE_CHARS = 1 << 16
@@ -97,7 +97,7 @@ def encode_column(
                 out = [encode_text(enc, t or "").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
+    return text_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
 
 def decode_column(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -114,7 +114,7 @@ def decode_column(encoded: DataFrame, rank_file: str, pattern: str, id_col: str
                     [part.column(0), part.column(1), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"]
                 )
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return text_batches(encoded).select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
 def round_trip_column(
@@ -138,4 +138,4 @@ def round_trip_column(
                     names=[id_col, "ids", "decoded"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+    return text_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")

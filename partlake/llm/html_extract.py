@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 from partlake.llm.sampling import bounded_sample
 
 #: Elements that never hold main text, with all they enclose.
@@ -536,4 +536,4 @@ def extract_pages(
                 arrays = [out if c == "text" else s.column(i) for i, c in enumerate([*cols, "text"])]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*cols, "text"])
 
-    return pages.select(*cols, html_col).mapInArrow(run, schema)
+    return text_batches(pages).select(*cols, html_col).mapInArrow(run, schema)

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 
 #: N-grams kept in a profile.
 PROFILE = 300
 UNKNOWN = "und"
+#: Letters of a text whose n-grams are listed at once.
+PIECE = 1 << 18
 
 _BITS = 21  # a code point
 _lower: np.ndarray | None = None
@@ -30,7 +32,7 @@ def _letters() -> np.ndarray:
     """Table: code point to its lower-case letter, 32 for everything that is no letter."""
     global _lower
     if _lower is None:
-        table = np.full(0x110000, 32, np.int64)
+        table = np.full(0x110000, 32, np.int32)
         for c in range(0x110000):
             if 0xD800 <= c < 0xE000:
                 continue
@@ -50,13 +52,17 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     a = _letters()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
     if not (a != 32).any():
         return none
-    a = np.concatenate([[32], a, [32]])
+    a = np.concatenate([[np.int32(32)], a, [np.int32(32)]])
     a = a[np.concatenate([[True], (a[1:] != 32) | (a[:-1] != 32)])]  # one blank between words
-    one = a[a != 32]
-    two = (a[:-1] << _BITS) | a[1:]
-    three = (a[:-2] << (2 * _BITS)) | (a[1:-1] << _BITS) | a[2:]
-    three = three[a[1:-1] != 32]  # no n-gram over two words
-    return np.unique(np.concatenate([one, two, three]), return_counts=True)
+    parts = []
+    for i in range(0, len(a), PIECE):  # n-grams start in one piece each; the counts of pieces add up
+        x = a[i : i + PIECE + 2].astype(np.int64)
+        one = x[:PIECE][x[:PIECE] != 32]
+        two = (x[: PIECE + 1][:-1] << _BITS) | x[1 : PIECE + 1]
+        three = (x[:-2] << (2 * _BITS)) | (x[1:-1] << _BITS) | x[2:]
+        three = three[x[1:-1] != 32]  # no n-gram over two words
+        parts.append(np.unique(np.concatenate([one, two, three]), return_counts=True))
+    return _add(parts)
 
 
 def has_letters(text: str | None) -> bool:
@@ -107,7 +113,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     labelled = labelled.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    total = labelled.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    total = text_batches(labelled).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return (
         total.withColumn("rank", (F.row_number().over(place) - 1).cast("int"))
@@ -180,7 +186,7 @@ def predict_languages(
             more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array(known, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "lang_pred", "score", "has_letters"])
 
-    return docs.select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double, has_letters boolean")
+    return text_batches(docs).select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double, has_letters boolean")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

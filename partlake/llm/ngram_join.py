@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 from partlake.llm.components import connected_components
 from partlake.llm.scratch import Scratch
 from partlake.llm.shingles import shingle_sets
@@ -37,7 +37,7 @@ HEAVY_GROUPS = 1024
 #: documents from which it is one. With m columns to a document there are m / HEAVY_SHARE at most.
 HEAVY_SHARE = 0.01
 #: Incidences in a block of the first sweep.
-BLOCK_CELLS = 500_000
+BLOCK_CELLS = 1_000_000
 #: Incidences of an average row, and of the longest one, in a block of the product.
 ROW_CELLS, LONGEST_CELLS = 256, 1 << 16
 LEADER_ROUNDS = 4
@@ -80,7 +80,7 @@ def set_table(docs: DataFrame, id_col: str, text_col: str, k: int, row_col: str
                     names=["id", "key", "n", "column", *["row" for _ in more]],
                 )
 
-    return docs.select(id_col, text_col, *more).mapInArrow(run, f"id {kind}, key long, n long, `column` boolean{form}")
+    return text_batches(docs).select(id_col, text_col, *more).mapInArrow(run, f"id {kind}, key long, n long, `column` boolean{form}")
 
 
 def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> DataFrame:
@@ -91,7 +91,7 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
     """
     order = np.sort(np.array(heavy_cols, np.int64).view(np.uint64))
 
-    def pack(keys, sizes, flat, own) -> Iterator[pa.RecordBatch]:
+    def pack(keys, flat, own) -> Iterator[pa.RecordBatch]:
         hot = np.isin(flat, order) if len(order) else np.zeros(len(flat), bool)
         for is_hot in (False, True):
             f, o = flat[hot == is_hot], own[hot == is_hot]
@@ -120,11 +120,10 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
                     pa.array(block[start].astype(np.int32)),
                     pa.array([is_hot] * len(start)),
                     lists(keys[o[doc]]),
-                    lists(sizes[o[doc]]),
                     lists(np.diff(np.append(doc, len(f))).astype(np.int32)),
                     _binaries(data, start * width, np.append(start[1:], len(f)) * width),
                 ],
-                names=["block", "hot", "key", "n", "m", "cells"],
+                names=["block", "hot", "key", "m", "cells"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +148,7 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
                     continue
                 mine = np.repeat(first, s.size)
                 own = np.repeat(np.arange(int(first.sum())), s.size[first]) + docs_held
-                held.append((keys[first], s.size[first], s.flat[mine], own))
+                held.append((keys[first], s.flat[mine], own))
                 cells, docs_held = cells + len(own), docs_held + int(first.sum())
                 if cells >= PACK_CELLS:
                     yield from flush()
@@ -157,7 +156,7 @@ def _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets) -> D
         yield from flush()
 
     slim = docs.select(id_col, text_col)
-    return slim.mapInArrow(run, "block int, hot boolean, key array<long>, n array<long>, m array<int>, cells binary")
+    return slim.mapInArrow(run, "block int, hot boolean, key array<long>, m array<int>, cells binary")
 
 
 def _block_of(col: np.ndarray, n_blocks: int) -> np.ndarray:
@@ -171,7 +170,7 @@ def _binaries(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-PACKED = "dest int, key array<long>, n array<long>, m array<int>, cols array<long>, df array<int>"
+PACKED = "dest int, key array<long>, m array<int>, cols array<long>, df array<int>"
 
 
 def _shared_cells(n_dest: int):
@@ -185,7 +184,7 @@ def _shared_cells(n_dest: int):
         t = table.combine_chunks()
         hot = t.column("hot").to_numpy()
         lists = lambda c, at: t.column(c).take(pa.array(at)).combine_chunks().flatten().to_numpy()
-        keys, sizes, own, cols, dfs, docs = [], [], [], [], [], 0
+        keys, own, cols, dfs, docs = [], [], [], [], 0
         for is_hot in (False, True):
             rows = np.flatnonzero(hot == is_hot)
             if not len(rows):
@@ -212,9 +211,8 @@ def _shared_cells(n_dest: int):
             cols.append(col[more].view(np.int64))
             dfs.append(df[more].astype(np.int32))
             keys.append(key_of[once])
-            sizes.append(lists("n", rows)[once])
             docs += int(once.sum())
-        keys, sizes = np.concatenate(keys), np.concatenate(sizes)
+        keys = np.concatenate(keys)
         own, cols, dfs = (np.concatenate(x) for x in (own, cols, dfs))
         dest = (keys[own].view(np.uint64) % np.uint64(n_dest)).astype(np.int64)
         order = np.lexsort((own, dest))
@@ -229,7 +227,6 @@ def _shared_cells(n_dest: int):
             {
                 "dest": pa.array(dests.astype(np.int32)),
                 "key": lists(doc_cut, keys[own[doc]], np.int64),
-                "n": lists(doc_cut, sizes[own[doc]], np.int64),
                 "m": lists(doc_cut, m, np.int32),
                 "cols": lists(cell_cut, cols, np.int64),
                 "df": lists(cell_cut, dfs, np.int32),
@@ -240,19 +237,21 @@ def _shared_cells(n_dest: int):
 
 
 def _whole_rows(num: int, den: int, parts: int, deep: int):
-    """For a destination: documents whose shared columns reach the least overlap their size asks for.
+    """For a destination and the sizes of its documents: documents whose shared columns reach the least overlap their size asks for.
 
     A document gives a row for each block of the product where it has columns; ``s`` is the
     number of its shared columns. The first of these rows, ``lead``, also has as ``head`` those of
     its columns, from rare to frequent, of which a linked document must have one, and ``deep`` more.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
-        keys, n, m = flat("key"), flat("n"), flat("m")
-        which, first, doc = np.unique(keys, return_index=True, return_inverse=True)
+    def run(table: pa.Table, sizes: pa.Table) -> pa.Table:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy() if table.num_rows else np.zeros(0, np.int64)
+        keys, m = flat("key"), flat("m")
+        which, doc = np.unique(keys, return_inverse=True)
         shared = np.bincount(doc, weights=m, minlength=len(which)).astype(np.int64)
-        size = n[first]
+        known, n = (sizes.column(c).to_numpy() for c in ("key", "n"))
+        by_key = np.argsort(known)
+        size = n[by_key][np.searchsorted(known[by_key], which)]
         kept = shared * den >= size * num
         cell_doc = np.repeat(doc, m)
         here = kept[cell_doc]
@@ -328,11 +327,16 @@ def jaccard_components(
     heavy_sets = {r["key"]: r["class_id"] for r in big}
 
     parts = int(max(1, -(-cells // max(1, n_sets) // ROW_CELLS), -(-longest // LONGEST_CELLS)))
+    n_dest = 1 + n_blocks // 2
+    # like numpy's remainder of the unsigned key, which the blocks deal by
+    dest = F.expr(f"CAST(pmod(pmod(shiftrightunsigned(key, 1), {n_dest}) * 2 + (key & 1), {n_dest}) AS INT)")
+    sizes = classes.select(dest.alias("dest"), "key", "n").groupBy("dest")
     alive = (
         _incidence(docs, id_col, text_col, k, n_blocks, heavy_cols, heavy_sets)
         .groupBy("block")
-        .applyInArrow(_shared_cells(1 + n_blocks // 4), PACKED)
+        .applyInArrow(_shared_cells(n_dest), PACKED)
         .groupBy("dest")
+        .cogroup(sizes)
         .applyInArrow(_whole_rows(num, den, parts, refinements(num, den)), ROWS)
     )
     alive = scratch.write(alive, "rows")

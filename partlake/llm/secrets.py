@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 from partlake.llm.sampling import bounded_sample
 
 KINDS = ("assign", "access", "hex", "field")
@@ -268,7 +268,7 @@ def scan_secrets(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([s.column(0), *cols], names=[id_col, "base", "spans"])
 
     struct = "array<struct<kind: string, start: long, end: long>>"
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, base {struct}, spans {struct}")
+    return text_batches(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, base {struct}, spans {struct}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partlake.llm.anchors import STRETCH, Hasher, find_anchors
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 from partlake.llm.scratch import Scratch
 
 LENGTH, GRAM = 200, 96
@@ -75,7 +75,7 @@ def _keys(slim: DataFrame, length: int, gram: int) -> DataFrame:
                 key, n = np.unique(find_anchors(h, bounds, length, gram)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
 
-    return slim.select("text").mapInArrow(run, "key long, n int")
+    return text_batches(slim).select("text").mapInArrow(run, "key long, n int")
 
 
 def _surroundings(slim: DataFrame, length: int, gram: int, id_kind: str) -> DataFrame:

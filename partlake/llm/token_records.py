@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from partlake.llm.batches import slices_by_bytes
+from partlake.llm.batches import slices_by_bytes, text_batches
 
 CASTAGNOLI = 0x82F63B78
 MASK_ADD = 0xA282EAD8
@@ -305,7 +305,7 @@ def write_token_records(
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = slim.repartitionByRange(n, id_col).sortWithinPartitions(id_col, text_col)
     schema = f"part int, file string, row long, offset long, size long, `{id_col}` {kind}, n_tokens long"
-    ordered.mapInArrow(run, schema).write.parquet(f"{out_dir}/index")
+    text_batches(ordered).mapInArrow(run, schema).write.parquet(f"{out_dir}/index")
     return docs.sparkSession.read.schema(schema).parquet(f"{out_dir}/index")
 
 
