@@ -1,7 +1,9 @@
 import pytest
 from oracle import SF, compare
 
-from partlake.plans.queries import ORACLE, QUERIES
+from __spark_entry__ import plans  # noqa: E402  (all modules of queries)
+
+ORACLE, QUERIES = plans.ORACLE, plans.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
