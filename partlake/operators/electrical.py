@@ -46,9 +46,9 @@ def smallest_size(amps: Column) -> Column:
 POWER_SIZES, MOST = ["22D", "20", "16", "12"], 49
 
 
-def _enough(rated: float, amps: Column, other: Column):
+def _enough(rated: Column | float, amps: Column, other: Column):
     def test(n: Column) -> Column:
-        each = F.lit(rated) * derating(other + n)
+        each = (F.lit(rated) if isinstance(rated, float) else rated) * derating(other + n)
         spare = (amps <= 13) | ((n >= 2) & ((n - 1) * each >= amps))
         return (n * each * 100 >= amps * 125) & spare
 
@@ -61,19 +61,16 @@ def power_contacts(amps: Column, other: Column) -> Column:
     For each size the fewest n with n * rating * derating(other + n) at 1.25 times the load
     or more, and two at least with one to spare above 13 A. From the smallest size that can,
     a larger one replaces it only when it saves two contacts. Null when none can; no contact
-    for no load.
+    for no load. Sizes are an array that is folded, so the search is written out once.
     """
     amps_of = {s: a for s, a, *_ in R.RATINGS}
-    found = None
-    for size in POWER_SIZES:
-        a = amps_of[size]
-        ns = F.sequence(F.lit(1), F.lit(MOST))
-
-        fits = F.get(F.filter(ns, _enough(a, amps, other)), F.lit(0))
-        here = F.when(fits.isNotNull(), F.struct(F.lit(size).alias("size"), fits.alias("n")))
-        if found is None:
-            found = here
-        else:
-            better = here.isNotNull() & (found.isNull() | (here["n"] <= found["n"] - 2))
-            found = F.when(better, here).otherwise(found)
-    return F.when(amps <= 0, F.struct(F.lit("none").alias("size"), F.lit(0).alias("n"))).otherwise(found)
+    sizes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(amps_of[s]).alias("rated")) for s in POWER_SIZES])
+
+    def fewest(s: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(1), F.lit(MOST)), _enough(s["rated"], amps, other))
+        return F.struct(s["size"].alias("size"), F.get(fits, F.lit(0)).alias("n"))
+
+    found = F.filter(F.transform(sizes, fewest), lambda c: c["n"].isNotNull())
+    none = F.lit(None).cast("struct<size:string,n:int>")
+    best = F.aggregate(found, none, lambda acc, c: F.when(acc.isNull() | (c["n"] <= acc["n"] - 2), c).otherwise(acc))
+    return F.when(amps <= 0, F.struct(F.lit("none").alias("size"), F.lit(0).alias("n"))).otherwise(best)
