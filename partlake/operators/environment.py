@@ -92,3 +92,54 @@ def top_environment(best: DataFrame, key: str) -> DataFrame:
     """The best environment of each key, ties by the fixed order."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), tag_rank())
     return best.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+# --- the report row ------------------------------------------------------------------------
+# --- fixed values: what is said of sealed and hermetic connectors
+SEALED = ["environmentally sealed when wired, mated and fitted", "altitude-immersion qualified in the mated condition"]
+HERMETIC = ["hermetic solder contacts", "glass-to-metal seal barrier"]
+FLUIDS = ["oil", "hydraulic fluid", "jet fuel", "de-icing fluid", "cleaning agents"]
+
+
+def series_of(stated, sheet) -> Column:
+    """A document's series, else IV for sheets in the forties, else III."""
+    return F.coalesce(F.nullif(stated, F.lit("")), F.when(F.col(sheet).startswith("4"), "IV").otherwise("III"))
+
+
+def features(decoded: DataFrame) -> DataFrame:
+    """Add ``sealing``, ``emi``, ``corrosion``, ``shock``, ``fluids`` and ``vacuum``: arrays of texts; accessories have the finish alone."""
+    facts = F.broadcast(class_facts(decoded.sparkSession))  # a dozen fixed rows
+    j = decoded.join(facts, F.col("class") == F.col("fact_class"), "left")
+    accessory, hermetic, emi = F.col("sheet").isin(R.ACCESSORY_SHEETS), F.col("sheet").isin(R.HERMETIC_SHEETS), F.col("sheet").isin(R.EMI_SHEETS)
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs])
+    none = F.array().cast("array<string>")
+    hours = F.when(F.col("salt_hours") > 0, F.concat(F.col("salt_hours").cast("string"), F.lit("-hour salt spray")))
+    finish = F.concat(F.lit("class "), F.col("class"), F.lit(" finish"))
+    coupling = F.when(series_of(F.lit(None).cast("string"), "sheet") == "IV", "breech coupling").otherwise("threaded coupling")
+    conductive = F.coalesce(F.col("conductive"), F.lit(True))
+    lists = {
+        "sealing": F.when(hermetic, texts(HERMETIC)).otherwise(texts(SEALED)),
+        "emi": F.when(emi, texts(["EMI grounding feature"])).when(conductive, texts(["conductive shell finish"])).otherwise(texts(["nonconductive finish"])),
+        "corrosion": F.array_compact(F.array(hours, finish)),
+        "shock": F.array(F.lit("300 G half-sine shock"), coupling),
+        "fluids": F.when(hermetic, texts(["fuel", *FLUIDS[:2]])).otherwise(texts(FLUIDS)),
+        "vacuum": F.array_compact(F.array(F.when(F.coalesce("space_grade", F.lit(False)), "space-grade finish"), F.when(hermetic, HERMETIC[1]))),
+    }
+    out = {n: F.when(accessory, F.array(finish) if n == "corrosion" else none).otherwise(c) for n, c in lists.items()}
+    return j.select(*decoded.columns, *[c.alias(n) for n, c in out.items()])
+
+
+def notes(scores: DataFrame, best: DataFrame, key: str) -> DataFrame:
+    """(key, ``notes``): sentences by the group scores; vacuum and weak salt fog are looked up among the best grades."""
+    grade = lambda e: F.max(F.when(F.col("environment") == e, F.col("score")))
+    more = best.groupBy(key).agg(grade("vacuum").alias("v"), grade("salt_fog").alias("f"), F.bool_and(F.col("environment") == "unknown_environment").alias("unknown"))
+    j = scores.join(more, key)
+    said = F.concat_ws(
+        " ",
+        F.when(F.col("air") >= 4, "Suitable for aerospace service."),
+        F.when(F.col("land") >= 4, "Matched to rugged land service."),
+        F.when(F.col("sea") >= 4, "Finish supports salt-fog exposure.").when(F.col("sea") == 3, "Marine use is conditional.").when(F.col("f") == 1, "Finish is weak in salt fog."),
+        F.when(F.col("industrial") >= 4, "Industrial fluids are supported."),
+        F.when(F.col("space") >= 4, "Space evidence is explicit.").when(F.col("v") >= 3, "Vacuum is documented.").otherwise("No space-grade evidence."),
+    )
+    return j.select(key, F.when(F.col("unknown"), "Accessory; environment was not classified.").otherwise(said).alias("notes"))

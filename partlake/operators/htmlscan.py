@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partlake.functions.text import strip_tags
+from partlake.functions.text import strip_tags, unescape
 
 
 def links(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
@@ -65,3 +65,33 @@ def classify_titles(df: DataFrame, col: str) -> DataFrame:
             "draft": t.contains("initial draft"),
         }
     )
+
+
+def form_page(pages: DataFrame, id_col: str, html: str) -> DataFrame:
+    """(id, ``fields``, ``page``, ``pages``, ``total``, ``numbers``): what a result page's form and counter say.
+
+    ``fields`` are name=value of inputs other than buttons and files, in order; ``page`` and
+    ``pages`` from ``Page a of b``, an error where a page has none; ``total`` from
+    ``n records``, null without; ``numbers`` the part numbers in the text. Lists are joined by commas.
+    """
+    inputs = F.regexp_extract_all(html, F.lit(r"(?i)<input\b([^>]*)>"), 1)
+    attr = lambda x, name: F.regexp_extract(x, rf"(?i)\b{name}\s*=\s*[\"']?([^\"'>\s]*)", 1)
+    kept = F.filter(inputs, lambda x: ~F.lower(attr(x, "type")).isin("submit", "image", "button", "reset", "file") & (attr(x, "name") != ""))
+    fields = F.transform(kept, lambda x: F.concat(attr(x, "name"), F.lit("="), unescape(attr(x, "value"))))
+    counter = lambda i: F.regexp_extract(html, r"Page (\d+) of (\d+)", i)
+    page = F.when(counter(1) == "", F.raise_error(F.lit("no page counter"))).otherwise(counter(1)).cast("long")
+    total = F.nullif(F.replace(F.regexp_extract(html, r"([\d,]+) records", 1), F.lit(","), F.lit("")), F.lit("")).cast("long")
+    numbers = F.regexp_extract_all(F.regexp_replace(html, "<[^>]*>", "\n"), F.lit(r"D38999/\d{2}[A-Z0-9]+"), 0)
+    return pages.select(
+        id_col, F.array_join(fields, ",").alias("fields"), page.alias("page"), counter(2).cast("int").alias("pages"), total.alias("total"), F.array_join(numbers, ",").alias("numbers")
+    )
+
+
+def table_triples(lines: DataFrame, group: str, order: str, line: str) -> DataFrame:
+    """(group, label, x, y): a label line followed by two lines with numbers; the last one of a label wins. One window over a document's lines."""
+    w = Window.partitionBy(group).orderBy(order)
+    near = lines.select(group, order, F.col(line).alias("label"), F.lead(line, 1).over(w).alias("a"), F.lead(line, 2).over(w).alias("b"))
+    number = r"^[+-]?\d*\.\d+$"
+    fit = near.where(F.col("label").rlike("^[A-Za-z]+$") & F.col("a").rlike(number) & F.col("b").rlike(number))
+    last = fit.groupBy(group, "label").agg(F.max_by(F.struct(F.col("a").cast("double").alias("x"), F.col("b").cast("double").alias("y")), order).alias("v"))
+    return last.select(group, "label", "v.x", "v.y")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partlake.functions import text as X
-from partlake.operators import convert, corpus, decode, electrical, environment, geometry, quality, validate, windows
+from partlake.operators import convert, corpus, decode, dispatch, drawing, electrical, environment, geometry, quality, validate, windows
 
 
 def one(spark, value, f):
@@ -165,3 +165,35 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "raw_pn string")
     assert convert.convert_forward(decode.parse_strict(empty)).count() == 0
     assert validate.mates(decode.parse_strict(empty)).count() == 0
+
+
+def test_merged_bins_equal_plain_python(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(g, float(b), rng.randint(1, 9)) for g in range(4) for b in rng.sample(range(100), rng.randint(1, 9))]
+    got = sorted((r.g, round(r.mean, 6), r.n) for r in drawing.merge_bins(spark.createDataFrame(rows, "g long, bin double, n long"), "g", 3).collect())
+    want = []
+    for g in range(4):
+        bins = sorted((b, [b] * n) for x, b, n in rows if x == g)
+        members = [m for _, m in bins]
+        mean = lambda m: sum(m) / len(m)
+        while len(members) > 3:
+            i = min(range(len(members) - 1), key=lambda i: mean(members[i + 1]) - mean(members[i]))
+            members[i : i + 2] = [members[i] + members[i + 1]]
+        want += [(g, round(mean(m), 6), len(m)) for m in members]
+    assert got == sorted(want)
+
+
+def test_point_clusters(spark):
+    rows = [(1, 1, 0.0, 0.0, 4.0), (1, 2, 1.0, 0.0, 2.0), (1, 3, 9.0, 9.0, 3.0), (1, 4, 2.5, 0.0, 1.0), (2, 5, 0.0, 0.0, 1.0)]
+    got = drawing.cluster_points(spark.createDataFrame(rows, "g long, id long, x double, y double, r double"), "g").orderBy("g", "n").collect()
+    assert [(r.g, r.n) for r in got] == [(1, 1), (1, 1), (1, 2), (2, 1)] or [(r.g, r.n) for r in got] == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_convert_any_modes(spark):
+    df = spark.createDataFrame([("D38999/26WD35PN",), ("KJA6T15W35PN",), ("RJF-6A",), ("nothing",), (None,)], "number string")
+    got = {(r.number, r.mode) for r in dispatch.convert_any(df, "number").collect()}
+    assert got == {("D38999/26WD35PN", "standard"), ("KJA6T15W35PN", "vendor"), ("RJF-6A", "rugged"), ("nothing", "error"), (None, "error")}
+    ranked = dispatch.ranked_reverse(spark.createDataFrame([("KJA6T15W35PN",)], "vendor_pn string")).collect()
+    assert (ranked[0].place, ranked[0].normalized) == (1, "D38999/26WD35PN")
