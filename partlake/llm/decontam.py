@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partlake.llm.rows import drop_keys
+from partlake.llm.rows import drop_keys, fresh
 from partlake.llm.scratch import Scratch
 
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -148,7 +148,7 @@ def _result_schema(docs: DataFrame, items: DataFrame, id_col: str, item_col: str
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns; null and repeated ids are judged row by row."""
-    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, row_col="__row", **how)
-    keyed = docs.withColumn("__row", row_hash(text_col))
-    on = {id_col: id_col, "__row": "__row"}
-    return drop_keys(keyed, leaks, on, Scratch(docs.sparkSession, "decontam")).select(*docs.columns)
+    row = fresh(docs, "__row")
+    leaks = find_leaks(docs, items, id_col=id_col, text_col=text_col, row_col=row, **how)
+    keyed = docs.withColumn(row, row_hash(text_col))
+    return drop_keys(keyed, leaks, {id_col: id_col, row: row}, Scratch(docs.sparkSession, "decontam")).select(*docs.columns)

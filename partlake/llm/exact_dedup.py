@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partlake.llm.rows import drop_keys
+from partlake.llm.rows import drop_keys, fresh
 from partlake.llm.scratch import Scratch
 
 BLANKS = r"[\x20\x09-\x0D]"
@@ -70,7 +70,7 @@ def group_copies(
     Texts are equal when they are identical without the characters space and U+0009 to
     U+000D; null counts as empty. The row with the most code points in its original
     text, then the smallest id (null last), stays. Of rows that repeat an id inside a
-    group one only has ``kept``. An empty table gives no rows; other columns are not read.
+    group one only has ``kept``. Ids are numbers. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
@@ -109,14 +109,20 @@ def group_copies(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; of rows equal in id and normalised text the longest stays."""
+    """The rows of ``docs`` that stay, all columns; of rows equal in id and normalised text the longest stays.
+
+    Ids must be numbers. Null texts count as empty and are one group; null ids equal each other. An
+    empty table stays empty; columns of any name pass through as they are.
+    """
     said = group_copies(docs, id_col, text_col, counters)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)
     gone = said.where(~F.col(id_col).eqNullSafe(F.col("keep_id")))
-    keyed = docs.withColumn("__key", digest)
-    left = drop_keys(keyed, gone, {id_col: id_col, "__key": "text_sha256"}, Scratch(docs.sparkSession, "exact-dedup"))
+    key = fresh(docs, "__key")
+    keyed = docs.withColumn(key, digest)
+    left = drop_keys(keyed, gone, {id_col: id_col, key: "text_sha256"}, Scratch(docs.sparkSession, "exact-dedup"))
     if said.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1).count():  # ids that repeat
-        first = Window.partitionBy(id_col, "__key").orderBy(F.char_length(text).desc())
-        left = left.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
+        place = fresh(keyed, "__rn")
+        first = Window.partitionBy(id_col, key).orderBy(F.char_length(text).desc())
+        left = left.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
     return left.select(*docs.columns)

@@ -186,7 +186,10 @@ def predict_languages(
             more = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array(known, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *more], names=[*cols, "lang_pred", "score", "has_letters"])
 
-    return text_batches(docs).select(F.col(text_col).alias("__text"), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double, has_letters boolean")
+    own = "__text"
+    while own in cols:
+        own = "_" + own
+    return text_batches(docs).select(F.col(text_col).alias(own), *cols).mapInArrow(run, f"{schema}, lang_pred string, score double, has_letters boolean")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

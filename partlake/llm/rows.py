@@ -13,6 +13,14 @@ from partlake.llm.scratch import Scratch
 BROADCAST_KEYS = 400_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores ahead until the table has no such column, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def drop_keys(docs: DataFrame, keys: DataFrame, on: dict[str, str], scratch: Scratch) -> DataFrame:
     """``docs`` without the rows whose columns equal a row of ``keys``; ``on`` maps columns of docs to those of keys.
 

@@ -230,12 +230,40 @@ def field_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
     return out
 
 
+def outside(text: str, spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]], least: int = 8) -> list[tuple[str, int, int]]:
+    """The parts of ordered spans that no base span covers, without signs at their ends; parts under ``least`` characters go.
+
+    A span that meets no base span stays as it is. One pass over both lists.
+    """
+    covered = sorted((b[1], b[2]) for b in base)
+    out, k = [], 0
+    for kind, a, b in spans:
+        while k < len(covered) and covered[k][1] <= a:
+            k += 1
+        j, at, parts = k, a, []
+        while j < len(covered) and covered[j][0] < b:
+            parts.append((at, covered[j][0]))
+            at = max(at, covered[j][1])
+            j += 1
+        if j == k:
+            out.append((kind, a, b))
+            continue
+        for x, y in [*parts, (at, b)]:
+            while x < y and not text[x].isalnum():
+                x += 1
+            while x < y and not text[y - 1].isalnum():
+                y -= 1
+            if y - x >= least:
+                out.append((kind, x, y))
+    return out
+
+
 def find_secrets(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """(base spans, all spans). A span of the field is added where no base span overlaps it."""
+    """(base spans, all spans). Of a span of the field what lies outside the base spans is added."""
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in field_spans(text, field) if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+    more = outside(text, field_spans(text, field), base)
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -170,6 +170,16 @@ def test_field_held_out(field):
     assert np.mean(hits) >= 0.9 and not any(clean)
 
 
+def test_field_spans_outside_base_spans():
+    text = "token = 123456789:AAHdqTcvCH1vGWJxfSeofSAs0K5PALDsaw and more"
+    base = [("assign", 0, 17)]
+    whole = ("field", 8, 51)
+    assert secrets.outside(text, [whole], base) == [("field", 18, 51)]
+    assert secrets.outside(text, [whole], []) == [whole]
+    assert secrets.outside(text, [("field", 8, 17)], base) == []
+    assert secrets.outside(text, [whole, ("field", 56, 60)], [("hex", 20, 25), ("hex", 30, 51)]) == [("field", 8, 20), ("field", 56, 60)]
+
+
 # --- decontamination -----------------------------------------------------------------
 def test_decontamination(spark, mixed):
     rng = random.Random(5)

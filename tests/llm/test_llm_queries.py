@@ -136,3 +136,15 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     assert left(corpus_pipeline.benchmark_leaks(spark, table(rows), str(tmp_path))) == want
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert left(corpus_pipeline.benchmark_leaks(spark, table(rows), f"{tmp_path}/none")) == sorted(rows, key=str)
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark):
+    """Columns named like the stages' own pass through; an empty table stays empty."""
+    rows = [(i, t, "en", "s", len(t or ""), f"k{i}", f"r{i}", "x") for i, t in enumerate(["the cat sat on the mat", "the cat  sat on the mat", None, "", "12", "a b c d e f"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __key string, __row string, __RN string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert all((r["__key"], r["__row"], r["__RN"]) == (f"k{r.doc_id}", f"r{r.doc_id}", "x") for r in got.collect()), name
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
