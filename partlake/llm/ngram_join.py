@@ -45,7 +45,7 @@ LEADER_ROUNDS = 4
 PACK_CELLS = 1_000_000
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
-#: Rows of a column compared with each other at once; a column with more is refined first.
+#: Rows of a column compared with each other at once.
 CHUNK = 512
 
 
@@ -236,12 +236,12 @@ def _shared_cells(n_dest: int):
     return run
 
 
-def _whole_rows(num: int, den: int, parts: int, deep: int):
+def _whole_rows(num: int, den: int, parts: int):
     """For a destination and the sizes of its documents: documents whose shared columns reach the least overlap their size asks for.
 
     A document gives a row for each block of the product where it has columns; ``s`` is the
     number of its shared columns. The first of these rows, ``lead``, also has as ``head`` those of
-    its columns, from rare to frequent, of which a linked document must have one, and ``deep`` more.
+    its columns, from rare to frequent, of which a linked document must have one.
     """
 
     def run(table: pa.Table, sizes: pa.Table) -> pa.Table:
@@ -259,7 +259,7 @@ def _whole_rows(num: int, den: int, parts: int, deep: int):
         order = np.lexsort((cols, df, cell_doc))
         cols, cell_doc = cols[order], cell_doc[order]
         rank = np.arange(len(cols)) - (np.cumsum(shared * kept) - shared * kept)[cell_doc]
-        most = (shared - -(-size * num // den) + 1 + deep)[cell_doc]
+        most = (shared - -(-size * num // den) + 1)[cell_doc]
         in_head = rank < most
         head_ends = np.concatenate([[0], np.cumsum(np.bincount(cell_doc[in_head], minlength=len(which)))])
         heads = cols[in_head]
@@ -337,7 +337,7 @@ def jaccard_components(
         .applyInArrow(_shared_cells(n_dest), PACKED)
         .groupBy("dest")
         .cogroup(sizes)
-        .applyInArrow(_whole_rows(num, den, parts, refinements(num, den)), ROWS)
+        .applyInArrow(_whole_rows(num, den, parts), ROWS)
     )
     alive = scratch.write(alive, "rows")
     labels = _link(alive, num, den, scratch)
@@ -359,18 +359,10 @@ def jaccard_components(
     return out
 
 
-def refinements(num: int, den: int) -> int:
-    """Columns that two different linked sets share for sure, beside a first one."""
-    return max(0, min(3, num // (den - num) - 1)) if num < den else 3
-
-
 def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(key, comp) of the rows that link with another."""
-    deep = refinements(num, den)
-    # a row without its first ones has fewer columns than a linked row must share with it
-    first = f"CAST(s - ({num} * n + {den - 1}) DIV {den} + 1 AS INT)"
-    ahead = alive.where("lead").select("key", "n", "s", "head", F.expr(first).alias("first"))
-    entries = ahead.select("key", "n", "s", F.posexplode(F.slice("head", F.lit(1), F.col("first"))).alias("pos", "col"))
+    ahead = alive.where("lead").select("key", "n", "s", "head")
+    entries = ahead.select("key", "n", "s", F.posexplode("head").alias("pos", "col"))
     entries = scratch.write(_can_link(entries, num, den), "prefixes")
 
     # every row meets the leader of each of its columns; what they share bounds what others can share with the row
@@ -403,7 +395,7 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
         if r < LEADER_ROUNDS:
             pairs = met.where("comp <> y.comp").select(F.struct(*_MEMBER).alias("x"), "y").where(_may_link(F.col("x"), F.col("y"), num, den))
         else:
-            pairs = _open_pairs(met.join(ahead.select("key", "head", "first"), "key"), num, den, deep, scratch)
+            pairs = _open_pairs(met.join(ahead.select("key", "head"), "key"), num, den)
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
         for t in tested:
             either = t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -483,44 +475,20 @@ def _can_link(entries: DataFrame, num: int, den: int) -> DataFrame:
     return kept.join(cols, "col")
 
 
-def _open_pairs(at: DataFrame, num: int, den: int, deep: int, scratch: Scratch) -> DataFrame:
-    """(x, y): the pairs of a column that are in different components and may link.
+def _open_pairs(at: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): all pairs of a column that are in different components and may link, by pairs of bounded chunks of them.
 
-    Rows of a column with more than ``CHUNK`` of them are dealt by the next column they share:
-    linked rows share ``deep`` more columns within the first ones, so they meet again, and a
-    pair is only looked at among rows that agree in up to ``deep`` + 1 columns. Groups that stay
-    large are compared by pairs of bounded chunks. A pair is made at its first common columns
-    alone: the columns ahead of the last one (``before``), other than those of the group, are
-    not shared. Two rows that can link are in all their common columns here, as every bound by
-    which an entry was left out holds for both.
+    A pair is made in the first column that both rows have: the columns ahead of it
+    (``before``) are not shared. Two rows that can link are in all their common columns here,
+    as every bound by which an entry was left out holds for both. Dealing a large column's rows
+    by a second shared column was tried and dropped: like rows share them all, so rows multiply.
     """
-    member = [*_MEMBER, "comp"]
-    groups = at.select(F.array("col").alias("cols"), "pos", "head", "first", *member)
-    out = None
-    for depth in range(deep + 1):
-        counted = groups.groupBy("cols").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        groups = scratch.write(groups.join(counted.select("cols", "c"), "cols"), "groups")
-        here = groups if depth == deep else groups.where(F.col("c") <= CHUNK)
-        pairs = _compared(here, member, num, den)
-        out = pairs if out is None else out.unionByName(pairs)
-        more = groups.where(F.col("c") > CHUNK).drop("c")
-        if depth == deep or not more.limit(1).count():
-            return out
-        after = F.slice("head", F.col("pos") + 2, F.greatest(F.col("first") + depth - F.col("pos"), F.lit(0)))
-        more = more.select("cols", "pos", "head", "first", *member, F.posexplode(after).alias("step", "next"))
-        cols, pos = F.concat("cols", F.array("next")).alias("cols"), (F.col("pos") + 1 + F.col("step")).alias("pos")
-        groups = more.select(cols, pos, "head", "first", *member)
-    return out
-
-
-def _compared(at: DataFrame, member: list[str], num: int, den: int) -> DataFrame:
-    """(x, y): pairs in a group that may link, by pairs of bounded chunks of it."""
-    before = F.array_except(F.slice("head", F.lit(1), F.col("pos")), "cols")
     part = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.expr(f"c DIV {CHUNK}")))
-    at = at.select("cols", part.alias("part"), *member, before.alias("before"))
-    chunks = at.groupBy("cols", "part").agg(F.collect_list(F.struct(*member, "before")).alias("xs"))
-    right = chunks.select("cols", F.col("part").alias("part_2"), F.col("xs").alias("ys"))
-    met = chunks.join(right, "cols").where("part <= part_2")
+    before = F.slice("head", F.lit(1), F.col("pos"))
+    rows = at.select("col", part.alias("part"), *_MEMBER, "comp", before.alias("before"))
+    chunks = rows.groupBy("col", "part").agg(F.collect_list(F.struct(*_MEMBER, "comp", "before")).alias("xs"))
+    right = chunks.select("col", F.col("part").alias("part_2"), F.col("xs").alias("ys"))
+    met = chunks.join(right, "col").where("part <= part_2")
 
     def partners(x: Column) -> Column:
         fits = F.filter(

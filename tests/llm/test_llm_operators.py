@@ -449,8 +449,8 @@ def test_ngram_join(spark, mixed, k, num, den, cells):
     assert got == components_by_force(texts, k, num, den)
 
 
-def test_ngram_join_refines_large_columns(spark, monkeypatch):
-    """Columns with many rows that do not link are dealt by further shared columns, and rows are cut into many blocks."""
+def test_ngram_join_many_chunks_and_blocks(spark, monkeypatch):
+    """Columns with many rows that do not link are compared chunk by chunk, and rows are cut into many blocks."""
     monkeypatch.setattr(ngram_join, "CHUNK", 3)
     monkeypatch.setattr(ngram_join, "ROW_CELLS", 10)
     rng = random.Random(5)
