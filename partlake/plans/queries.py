@@ -533,10 +533,17 @@ def cumulative_allocation(spark, sf_dir):
     return windows.cumulative_slots(li, "l_partkey", order, "l_quantity").drop("first")
 
 
-@query()
+@query("""
+  WITH RECURSIVE d AS (SELECT source, doc_id, coalesce(strlen(text), 0) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+  r AS (SELECT source, doc_id, size, rn, size AS used, 0::BIGINT AS chunk FROM d WHERE rn = 1
+    UNION ALL SELECT d.source, d.doc_id, d.size, d.rn, CASE WHEN r.used + d.size > 20000 THEN d.size ELSE r.used + d.size END, r.chunk + (r.used + d.size > 20000)::BIGINT
+    FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.rn = r.rn + 1)
+  SELECT source, doc_id, chunk::INT AS chunk FROM r
+""")
 def byte_bounded_chunks(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return windows.chunks_by_size(d, "source", "doc_id", F.col("n_chars"), 20_000)
+    """The sizes are UTF-8 bytes of the texts."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("size"))
+    return windows.chunks_by_size(d, "source", "doc_id", F.col("size"), 20_000)
 
 
 # --- geometry ------------------------------------------------------------------------
