@@ -110,18 +110,25 @@ def convert_reverse(numbers: DataFrame, col: str = "vendor_pn") -> DataFrame:
     x = x.withColumn("__x", compact("__x"))
     x = x.withColumn("head", F.explode(F.array(*[F.substring("__x", 1, n) for n in sorted(lengths)])))
     j = x.join(F.broadcast(heads), "head")
-    rest = F.expr("substring(__x, length(head) + 1)")
     optional = F.col("fmt").isin("prefix", "BL", "base")
     nums = "|".join(sorted(["09", *[n for _, n in R.SHELL_SIZES]], key=lambda n: (-len(n), n)))
     tail = r"(\d{1,2})([A-Z])([A-Z])?$"
-    pattern = {"letter": r"^([A-HJ])()" + tail, "ACT": r"^([A-HJ])()" + tail, "T": rf"^({nums})([A-Z])" + tail, "8D": rf"^({nums})([A-Z])" + tail}
-    j = j.withColumn("__rest", rest)
+    rest = F.expr("substring(__x, length(head) + 1)")
+
+    def fields(pattern: str) -> Column:
+        return F.split(F.regexp_replace(rest, "^" + pattern + tail, "$1,$2,$3,$4,$5"), ",")
+
+    read = (
+        F.when(F.col("fmt").isin("letter", "ACT"), fields(r"([A-HJ])()"))
+        .when(F.col("fmt").isin("T", "8D"), fields(rf"({nums})([A-Z])"))
+        .otherwise(fields(rf"({nums})()"))
+    )
+    # one pattern a row, read once: the generator keeps the tests below from repeating it
+    whole = F.filter(F.array(read), lambda p: (F.size(p) == 5) & (F.instr("__x", ",") == 0))
+    j = j.withColumn("__p", F.explode(whole))
 
     def group(i: int) -> Column:
-        out = F.regexp_extract("__rest", rf"^({nums})()" + tail, i)
-        for fmt, p in pattern.items():
-            out = F.when(F.col("fmt") == fmt, F.regexp_extract("__rest", p, i)).otherwise(out)
-        return out
+        return F.get("__p", F.lit(i - 1))
 
     size_map = F.create_map(*[F.lit(v) for c, n in R.SHELL_SIZES for v in (n, c)], F.lit("09"), F.lit("A"))
     j = (
