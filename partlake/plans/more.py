@@ -186,13 +186,13 @@ def dedupe_display(spark, sf_dir):
 
 
 @query("""
-  WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal < -950), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal < 0)
-  SELECT coalesce(a.k, b.k) AS nation, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
+  WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT s_suppkey * 2 AS k FROM supplier)
+  SELECT coalesce(a.k, b.k) AS number, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
 """)
 def symmetric_difference(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_acctbal < -950").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("nation"))
-    return corpus.snapshot_diff(a, b, "nation").where("change <> 'kept'").withColumnRenamed("change", "side")
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number"))
+    b = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2).alias("number"))
+    return corpus.snapshot_diff(a, b, "number").where("change <> 'kept'").withColumnRenamed("change", "side")
 
 
 @query(f"""

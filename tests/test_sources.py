@@ -43,3 +43,21 @@ def test_stream_dedupe_and_windows(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert spark.table("once").count() == events.count()
+
+
+def test_stream_state_ends_with_the_watermark(spark, tmp_path):
+    """A repeat within the lateness is dropped, a row behind the watermark too; a repeat long after is a new event."""
+    import datetime as dt
+
+    day = dt.datetime(2024, 1, 1)
+    batches = [[("1", 0), ("2", 30)], [("1", 40), ("3", 300)], [("4", 310)], [("9", 0), ("1", 320)]]
+    for i, rows in enumerate(batches):
+        made = [(int(k), day + dt.timedelta(minutes=m), 1, "x", 1.0, "{}") for k, m in rows]
+        spark.createDataFrame(made, dedupe.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"w{i}").glob("*.parquet")).rename(tmp_path / "in" / f"{i}.parquet")
+        first = dedupe.first_events(dedupe.read_events(spark, str(tmp_path / "in")), "1 hour")
+        sink = first.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        sink.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.event_id, (r.ts - day).total_seconds() // 60) for r in spark.read.parquet(str(tmp_path / "out")).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")).collect())
+    assert got == [(1, 0), (1, 320), (2, 30), (3, 300), (4, 310)]
