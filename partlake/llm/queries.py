@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partlake.llm import bpe, decontam, exact_dedup, html_extract, langid, ngram_join, secrets, sharding, suffix_dedup, token_records
+from partlake.llm import bpe, decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, secrets, sharding, suffix_dedup, token_records
 from partlake.llm.scratch import Scratch
 
 
@@ -120,6 +120,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_chars=10, min_docs=2)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -131,6 +136,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_records": op9_token_records,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLE = {
@@ -185,4 +191,18 @@ ORACLE = {
           FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
     """,
+    "op11_line_dedup": r"""
+        WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s),
+        k AS (
+          SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM l),
+        f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10
+              GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        j AS (SELECT k.*, f.first IS NOT NULL AND f.first <> k.doc_id AS gone FROM k LEFT JOIN f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id
+    """,
 }
