@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partlake.llm import bpe, decontam, exact_dedup, html_extract, langid, line_dedup, ngram_join, secrets, sharding, suffix_dedup, token_records
+from partlake.llm import bpe, decontam, exact_dedup, html_extract, importance, langid, line_dedup, ngram_join, secrets, sharding, suffix_dedup, token_records
 from partlake.llm.scratch import Scratch
 
 
@@ -125,6 +125,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, target, percent=10, min_words=20, longest=1, buckets=10_000, seed=2024)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -137,8 +142,15 @@ QUERIES = {
     "op9_token_records": op9_token_records,
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
+#: CRC-32 of the bytes of a text column ``{0}``, a bit at a time.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
 ORACLE = {
     "op4_decontamination": r"""
         WITH w AS (
@@ -205,4 +217,28 @@ ORACLE = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id
     """,
+    "op12_importance_resampling": r"""
+        WITH x AS (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+        w AS (
+          SELECT side, doc_id, unnest(regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM x),
+        b AS (SELECT word, {crc} % 10000 AS bucket FROM (SELECT DISTINCT word FROM w)),
+        f AS (SELECT side, doc_id, bucket FROM w JOIN b USING (word)),
+        n AS (SELECT r.bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t
+              FROM (SELECT unnest(range(10000)) AS bucket) r LEFT JOIN f ON f.bucket = r.bucket GROUP BY r.bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE
+                / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n),
+        d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+              FROM f JOIN g USING (bucket) WHERE side = 's' GROUP BY doc_id),
+        z AS (
+          SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                   (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+          FROM documents LEFT JOIN d USING (doc_id)),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+              FROM z WHERE n_features >= 20)
+        SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+        FROM z LEFT JOIN r USING (doc_id)
+    """.replace("{crc}", _CRC32.format("word")),
 }
