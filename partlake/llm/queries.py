@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partlake.llm import bpe, decontam, exact_dedup, html_extract, importance, langid, line_dedup, ngram_join, secrets, sharding, suffix_dedup, token_records
+from partlake.llm import bpe, decontam, exact_dedup, html_extract, importance, langid, line_dedup, ngram_join, prefix_trie, secrets, sharding, suffix_dedup, token_records
 from partlake.llm.scratch import Scratch
 
 
@@ -130,6 +130,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, target, percent=10, min_words=20, longest=1, buckets=10_000, seed=2024)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"), every=100, heads=6)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -143,6 +147,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: CRC-32 of the bytes of a text column ``{0}``, a bit at a time.
@@ -241,4 +246,25 @@ ORACLE = {
         SELECT z.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
         FROM z LEFT JOIN r USING (doc_id)
     """.replace("{crc}", _CRC32.format("word")),
+    "op13_conversation_trie": r"""
+        WITH o AS (
+          SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                   ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c, turns, {crc} % 6 AS h FROM (SELECT *, c::VARCHAR AS word FROM o)),
+        b AS (SELECT h.c, list_concat(coalesce(o.turns[1:h.h], []), h.turns[h.h + 1:]) AS path
+              FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+        p AS (SELECT c, path, len(path) AS length, unnest(range(len(path) + 1)) AS d FROM b),
+        n AS (
+          SELECT d, path[1:d] AS node, min(c) AS c, count(*) AS n_convs,
+                 string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = d) AS ends
+          FROM p GROUP BY ALL),
+        v AS (SELECT a.*, b.c AS above, (a.n_convs - 1) * coalesce(length(a.node[a.d].t), 0) AS saved,
+                     (SELECT count(*) FROM n x WHERE x.d = a.d + 1 AND x.node[1:a.d] = a.node) AS n_children
+              FROM n a LEFT JOIN n b ON b.d = a.d - 1 AND b.node = a.node[1:a.d - 1])
+        SELECT a.c AS conv_id, a.d AS depth, any_value(a.above) AS parent_conv_id, any_value(a.n_convs) AS n_convs,
+               any_value(a.n_children) AS n_children, count(*) FILTER (u.n_children = 0) AS n_leaves,
+               sum(u.saved) AS saved_tokens, sha256(coalesce(any_value(a.ends), '')) AS ends_sha256
+        FROM v a JOIN v u ON u.d >= a.d AND u.node[1:a.d] = a.node GROUP BY a.c, a.d
+    """.replace("{crc}", _CRC32.format("word")),
 }
