@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from partlake import refdata as R
 from partlake.functions import math as M
-from partlake.operators import catalog, corpus, decode, selection, validate
+from partlake.operators import catalog, corpus, decode, ranges, selection, validate
 from partlake.plans.queries import _LIST, _MATES, _STATUS, ORACLE, PARSED, _status, current_capacity, distinct_parsed, query, table
 from partlake.sources.feed import FEED, part_feed
 
@@ -29,7 +29,7 @@ def _fit_sql() -> str:
 
 @query(_fit_sql())
 def suggest_arrangement(spark, sf_dir):
-    """Each need against every arrangement of the catalog: all pairs are wanted, and arrangements are as few as sizes."""
+    """Each need against the arrangements with as many contacts in all."""
     stock = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("part")).agg(
         (F.count("*") % 11).alias("h0"), (F.sum("p_partkey") % 7).alias("h1"), (F.count_distinct("p_brand") % 5).alias("h2"), (F.count_distinct("p_type") % 4).alias("h3")
     )
@@ -37,7 +37,9 @@ def suggest_arrangement(spark, sf_dir):
     bands = [(None, 5, 6), (5, 8, 4), (8, 13, 4), (13, 16, 3)]
     counts = [(F.count_if((q <= hi) if lo is None else (q > lo) & (q <= hi)) % m).alias(f"n{i}") for i, (lo, hi, m) in enumerate(bands)]
     need = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("need")).agg(*counts)
-    fitted = selection.fit_sizes(need.crossJoin(stock), ["n0", "n1", "n2", "n3"], ["h0", "h1", "h2", "h3"])
+    total = lambda c: sum((F.col(f"{c}{i}") for i in range(4)), F.lit(1)).alias(f"total_{c}")  # noqa: E731  (one more each, as nothing is a need, too)
+    pairs = ranges.at_least(need.select("*", total("n")), stock.select("*", total("h")), "total_n", "total_h").drop("total_n", "total_h")
+    fitted = selection.fit_sizes(pairs, ["n0", "n1", "n2", "n3"], ["h0", "h1", "h2", "h3"])
     return selection.best_fits(fitted, "need", "part", 5).select("need", "part", "upsizes", "spare", "place")
 
 
