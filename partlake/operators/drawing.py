@@ -63,8 +63,8 @@ def reading_order(df: DataFrame, group: str, y: str, x: str, tie: str) -> DataFr
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(y, x, tie)))
 
 
-def merge_bins(df: DataFrame, group: str, to: int) -> DataFrame:
-    """(group, mean, n): diameters in ``to`` bins at most; neighbours with the nearest means merge first, the lower on a tie.
+def merge_bins(df: DataFrame, group: str, to: int | str) -> DataFrame:
+    """(group, mean, n): diameters in ``to`` bins at most (a number or a column); neighbours with the nearest means merge first, the lower on a tie.
 
     Rows: group, bin (mean diameter), n. A merged bin's mean weighs both by their number.
     """
@@ -72,7 +72,8 @@ def merge_bins(df: DataFrame, group: str, to: int) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         mean, n = pdf["bin"].tolist(), pdf["n"].tolist()
-        while len(mean) > to:
+        most = int(pdf[to].iloc[0]) if isinstance(to, str) else to
+        while len(mean) > most:
             i = int(np.argmin(np.diff(mean)))
             total = n[i] + n[i + 1]
             mean[i : i + 2] = [(mean[i] * n[i] + mean[i + 1] * n[i + 1]) / total]

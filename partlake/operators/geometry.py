@@ -42,8 +42,8 @@ def min_cost_assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
-def assign_points(df: DataFrame, group: str) -> DataFrame:
-    """(group, id, other, distance): ``a`` points matched to ``b`` points at least total distance, group by group.
+def assign_points(df: DataFrame, group: str, squared: bool = False) -> DataFrame:
+    """(group, id, other, distance): ``a`` points matched to ``b`` points at least total distance (or sum of squares), group by group.
 
     Rows: group, side ('a' or 'b'), id, x, y. Drawings have some hundred points at most.
     """
@@ -55,7 +55,7 @@ def assign_points(df: DataFrame, group: str) -> DataFrame:
         if not len(p):
             return pd.DataFrame({group: [], "id": [], "other": [], "distance": []})
         cost = np.hypot(p.x.to_numpy()[:, None] - q.x.to_numpy(), p.y.to_numpy()[:, None] - q.y.to_numpy())
-        to = min_cost_assignment(cost)
+        to = min_cost_assignment(cost**2 if squared else cost)
         rows = [(p.id.iloc[i], q.id.iloc[j], cost[i, j]) for i, j in enumerate(to)]
         rows = [(y, x, d) if swap else (x, y, d) for x, y, d in rows]
         out = pd.DataFrame(rows, columns=["id", "other", "distance"])
@@ -87,9 +87,9 @@ def greedy_nearest(df: DataFrame, group: str, within: float) -> DataFrame:
 
 
 def diameter_bins(df: DataFrame, group: str, diameter: str) -> DataFrame:
-    """(group, bin, n, mean): counts by diameter rounded to hundredths."""
-    b = F.round(F.col(diameter).cast("double"), 2)
-    return df.groupBy(group, b.alias("bin")).agg(F.count("*").alias("n"))
+    """(group, bin, n, mean): number and mean of the diameters that round to the same hundredth."""
+    d = F.col(diameter).cast("double")
+    return df.groupBy(group, F.round(d, 2).alias("bin")).agg(F.count("*").alias("n"), F.avg(d).alias("mean"))
 
 
 def distance(x1, y1, x2, y2) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partlake import refdata as R
 from partlake.functions import text as X
 from partlake.operators import decode, drawing, environment, htmlscan
+from partlake.operators.ranking import numbered
 from partlake.plans.labels import pick, pick_sql
 from partlake.plans.queries import _ENV, _LIST, _best, query, table
 from partlake.sources.feed import part_feed
@@ -151,15 +152,15 @@ def standard_table(spark, sf_dir):
     row_number() OVER (ORDER BY CASE code {" ".join(f"WHEN '{c}' THEN {n}" for c, n in R.SHELL_SIZES)} END, number, p_partkey)::INT AS place FROM t
 """)
 def arrangement_order(spark, sf_dir):
-    """Shell by its size as a number, then the arrangement's number. The place over all is the shell's offset, from one row a shell, and the place in the shell."""
+    """Shell by its size as a number, then the arrangement's number. A shell holds a ninth of all rows, so rows are numbered by ranges; the place over all is the shell's offset, from one row a shell, and the place in the shell."""
     k, s = F.col("p_partkey"), F.col("p_size")
     sizes = F.create_map(*[F.lit(x) for c, n in R.SHELL_SIZES for x in (c, int(n))])
     t = table(spark, sf_dir, "part").select(k, pick([c for c, _ in R.SHELL_SIZES], s % 9).alias("code"), (k % 61).alias("number"))
     t = t.withColumn("shell", F.try_element_at(sizes, F.col("code")))
     n = t.groupBy("shell").agg(F.count("*").alias("n"))
     before = n.select("shell", (F.sum("n").over(Window.orderBy("shell")) - F.col("n")).alias("before"))  # nine rows
-    t = t.withColumn("in_shell", F.row_number().over(Window.partitionBy("shell").orderBy("number", "p_partkey")))
-    return t.join(F.broadcast(before), "shell").select("p_partkey", "in_shell", (F.col("before") + F.col("in_shell")).cast("int").alias("place"))
+    t = numbered(t, ["shell"], ["number", "p_partkey"], "in_shell")
+    return t.join(F.broadcast(before), "shell").select("p_partkey", F.col("in_shell").cast("int").alias("in_shell"), (F.col("before") + F.col("in_shell")).cast("int").alias("place"))
 
 
 @query("""

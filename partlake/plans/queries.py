@@ -565,10 +565,10 @@ def nearest_greedy(spark, sf_dir):
     return geometry.greedy_nearest(_points(spark, sf_dir), "drawing", 0.5)
 
 
-@query("SELECT label, round(abs(embedding[3])::DOUBLE, 2) AS bin, count(*) AS n FROM embeddings GROUP BY ALL")
+@query("SELECT label, round(abs(embedding[3])::DOUBLE, 2) AS bin, count(*) AS n, round(avg(abs(embedding[3])::DOUBLE), 9) AS mean FROM embeddings GROUP BY ALL")
 def diameter_bins(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("label", F.abs(F.element_at("embedding", 3)).alias("d"))
-    return geometry.diameter_bins(e, "label", "d")
+    return geometry.diameter_bins(e, "label", "d").withColumn("mean", F.round("mean", 9))
 
 
 # --- HTML and text -------------------------------------------------------------------
