@@ -60,12 +60,3 @@ def inventory(manifest: DataFrame, disk: DataFrame, col: str) -> DataFrame:
 def honours_any(rows: DataFrame, combos: DataFrame, on: str, key: str, test: Column) -> DataFrame:
     """(key, ``honoured``): whether a row meets the test with any combination of its ``on``; without combinations it does not."""
     return rows.join(combos, on, "left").groupBy(key).agg(F.coalesce(F.bool_or(test), F.lit(False)).alias("honoured"))
-
-
-def grounded(signatures: DataFrame, texts: DataFrame, vendor: str, signature: str, text: str) -> DataFrame:
-    """(vendor, signature, ``n_texts``): in how many of a vendor's texts a signature stands; an equi-join on the vendor, then a test of each text.
-
-    Signatures are a few rows a vendor, so the texts are joined by broadcasting them.
-    """
-    met = signatures.join(texts.select(F.col(vendor), F.col(text).alias("__t")), vendor, "left")
-    return met.groupBy(vendor, signature).agg(F.count_if(F.contains("__t", F.col(signature))).alias("n_texts"))

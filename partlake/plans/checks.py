@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partlake import refdata as R
-from partlake.operators import consistency, convert, dispatch, lookups, rugged
+from partlake.operators import consistency, convert, dispatch, grounding, lookups, rugged
 from partlake.plans.labels import pick, pick_sql
 from partlake.plans.queries import _LIST, FORWARD, PARSED, convert_forward, distinct_parsed, query, table
 from partlake.sources.feed import part_feed
@@ -161,7 +161,7 @@ def combos_honoured(spark, sf_dir):
 def texts_grounded(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     signs = docs.where("lang IS NOT NULL").select("source", "lang").distinct()
-    return consistency.grounded(signs, docs, "source", "lang", "text")
+    return grounding.grounded(signs, docs, "source", "lang", "text")
 
 
 # --- lookups ------------------------------------------------------------------------------
