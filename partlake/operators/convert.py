@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partlake import refdata as R
-from partlake.functions.text import compact, strip_order_suffixes
+from partlake.functions.text import compact, drop_crimp_mark, strip_order_suffixes
 
 
 def rules(spark) -> DataFrame:
@@ -94,6 +94,13 @@ def _head() -> Column:
     return F.replace(x, F.lit("-"), F.lit(""))
 
 
+def _heads(spark) -> DataFrame:
+    """The rule rows with their ``head``; a crimp prefix once more without its R, as the head of its board variant (``board``)."""
+    crimp = spark.createDataFrame(R.rule_rows(), R.RULE_SCHEMA).withColumn("crimp", _head())
+    board = crimp.where("fmt = 'prefix'").withColumn("head", drop_crimp_mark("crimp")).where("head <> crimp")
+    return crimp.select("*", F.col("crimp").alias("head"), F.lit(False).alias("board")).unionByName(board.withColumn("board", F.lit(True)))
+
+
 def convert_reverse(numbers: DataFrame, col: str = "vendor_pn") -> DataFrame:
     """(all columns, ``ord``, ``vendor``, ``normalized``): every standard number that a vendor number can stand for.
 
@@ -102,25 +109,31 @@ def convert_reverse(numbers: DataFrame, col: str = "vendor_pn") -> DataFrame:
     they meet on equal strings. The rest must be a size (letter or number by format, the
     longer number first), an insert of one or two digits, a contact and a key (N if missing
     for the formats that allow it), and the rule must support contact, key and size.
+
+    Numbers of the prefix format may have three insert digits and need no support of the rule. One
+    that does not start with the crimp prefix, but with it less its R, is a board variant: marks for
+    quadrax (GQ, RQ) and then for the termination (CI, LI, G, Q) stand before its size.
     """
     spark = numbers.sparkSession
-    heads = spark.createDataFrame(R.rule_rows(), R.RULE_SCHEMA).withColumn("head", _head())
+    heads = _heads(spark)
     lengths = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # a handful: the rules are fixed
     x = numbers.withColumn("__x", strip_order_suffixes(F.regexp_replace(F.upper(F.col(col)), r"\s+", "")))
     x = x.withColumn("__x", compact("__x"))
     x = x.withColumn("head", F.explode(F.array(*[F.substring("__x", 1, n) for n in sorted(lengths)])))
-    j = x.join(F.broadcast(heads), "head")
+    j = x.join(F.broadcast(heads), "head").where(~F.col("board") | ~F.startswith("__x", F.col("crimp")))
     optional = F.col("fmt").isin("prefix", "BL", "base")
     nums = "|".join(sorted(["09", *[n for _, n in R.SHELL_SIZES]], key=lambda n: (-len(n), n)))
-    tail = r"(\d{1,2})([A-Z])([A-Z])?$"
     rest = F.expr("substring(__x, length(head) + 1)")
+    rest = F.when(F.col("board"), F.regexp_replace(F.regexp_replace(rest, "^(GQ|RQ)", ""), "^(CI|LI|G|Q)", "")).otherwise(rest)
 
-    def fields(pattern: str) -> Column:
+    def fields(pattern: str, digits: int = 2) -> Column:
+        tail = rf"(\d{{1,{digits}}})([A-Z])([A-Z])?$"
         return F.split(F.regexp_replace(rest, "^" + pattern + tail, "$1,$2,$3,$4,$5"), ",")
 
     read = (
         F.when(F.col("fmt").isin("letter", "ACT"), fields(r"([A-HJ])()"))
         .when(F.col("fmt").isin("T", "8D"), fields(rf"({nums})([A-Z])"))
+        .when(F.col("fmt") == "prefix", fields(rf"({nums})()", 3))
         .otherwise(fields(rf"({nums})()"))
     )
     # one pattern a row, read once: the generator keeps the tests below from repeating it
@@ -141,15 +154,13 @@ def convert_reverse(numbers: DataFrame, col: str = "vendor_pn") -> DataFrame:
         .withColumnRenamed("rule_sheet", "sheet")
         .withColumnRenamed("rule_class", "class")
     )
+    supported = ((F.col("sizes") == "") | F.expr("instr(sizes, size) > 0")) & F.expr("instr(contacts, contact) > 0") & F.expr("instr(keys, key) > 0") & ~composite_only()
     fits = (
         (F.col("insert") != "")
         & F.col("key").isNotNull()
         & F.col("size").isNotNull()
         & (~F.col("fmt").isin("T", "8D") | (F.col("__finish") == F.col("finish")))
-        & ((F.col("sizes") == "") | F.expr("instr(sizes, size) > 0"))
-        & F.expr("instr(contacts, contact) > 0")
-        & F.expr("instr(keys, key) > 0")
-        & ~composite_only()
+        & ((F.col("fmt") == "prefix") | supported)
     )
     out = j.where(fits).withColumn("normalized", F.concat(F.lit("D38999/"), "sheet", "class", "size", "insert", "contact", "key"))
     return out.select(*numbers.columns, "ord", "vendor", "normalized").distinct()

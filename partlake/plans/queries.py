@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,12 +183,63 @@ def vendor_feed(spark, sf_dir) -> DataFrame:
     return fwd.select("normalized", "ord", noisy.otherwise(X.strip_dashes("vendor_pn")).alias("vendor_pn"))
 
 
-@query()
+def _reverse_heads() -> list[tuple]:
+    """(ord, vendor, fmt, finish, sizes, contacts, keys, sheet, class, head, board, crimp) of every rule row, and of its board variant."""
+    out = []
+    for o, vendor, _, fmt, _, base, sizes, contacts, keys, sheet, cls, style, finish in R.rule_rows():
+        crimp = {"prefix": style + finish, "letter": base + style + cls, "T": base + style + "T", "8D": base + style}.get(fmt, base + style + finish).replace("-", "")
+        row = (o, vendor, fmt, finish, sizes, contacts, keys, sheet, cls)
+        out.append((*row, crimp, False, crimp))
+        if fmt == "prefix" and (board := re.sub(r"R([A-Z]+)$", r"\1", crimp)) != crimp:
+            out.append((*row, board, True, crimp))
+    return out
+
+
+def _reverse_sql(numbers: str) -> str:
+    """Every number against every head, for a query with a column vendor_pn."""
+    nums = "|".join(sorted(["09", *[n for _, n in R.SHELL_SIZES]], key=lambda n: (-len(n), n)))
+    forms = {"letter": r"^([A-HJ])()(\d{1,2})([A-Z])([A-Z])?$", "T": rf"^({nums})([A-Z])(\d{{1,2}})([A-Z])([A-Z])?$", "prefix": rf"^({nums})()(\d{{1,3}})([A-Z])([A-Z])?$", "": rf"^({nums})()(\d{{1,2}})([A-Z])([A-Z])?$"}
+    kind = "CASE WHEN fmt IN ('letter', 'ACT') THEN 'letter' WHEN fmt IN ('T', '8D') THEN 'T' WHEN fmt = 'prefix' THEN 'prefix' ELSE '' END"
+    part = lambda i: "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_extract(rest, '{p}', {i})" for k, p in forms.items()) + " END"
+    strip = r"regexp_replace(upper(vendor_pn), '\s+', '', 'g')"
+    for p in ("-LC$", r"F\d{3}(LFC?)?$", "-LF$"):
+        strip = f"regexp_replace({strip}, '{p}', '')"
+    sizes = " ".join(f"WHEN '{n}' THEN '{c}'" for c, n in [*R.SHELL_SIZES, ("A", "09")])
+    return rf"""
+  SELECT DISTINCT vendor_pn, ord, vendor, 'D38999/' || sheet || class || size || ins || contact || key AS normalized FROM (
+    SELECT *, CASE kind WHEN 'letter' THEN g1 ELSE CASE g1 {sizes} END END AS size, CASE WHEN g5 <> '' THEN g5 WHEN fmt IN ('prefix', 'BL', 'base') THEN 'N' END AS key FROM (
+      SELECT *, {part(1)} AS g1, {part(2)} AS g2, {part(3)} AS ins, {part(4)} AS contact, {part(5)} AS g5 FROM (
+        SELECT n.vendor_pn, h.*, {kind} AS kind, CASE WHEN board THEN regexp_replace(regexp_replace(substr(x, length(head) + 1), '^(GQ|RQ)', ''), '^(CI|LI|G|Q)', '') ELSE substr(x, length(head) + 1) END AS rest
+        FROM (SELECT vendor_pn, regexp_replace({strip}, '[\s-]', '', 'g') AS x FROM ({numbers})) n
+        JOIN (VALUES {R.values(_reverse_heads())}) h(ord, vendor, fmt, finish, sizes, contacts, keys, sheet, class, head, board, crimp) ON starts_with(x, head) AND (NOT board OR NOT starts_with(x, crimp)))))
+  WHERE ins <> '' AND key IS NOT NULL AND size IS NOT NULL AND (fmt NOT IN ('T', '8D') OR g2 = finish)
+    AND (fmt = 'prefix' OR ((sizes = '' OR contains(sizes, size)) AND contains(contacts, contact) AND contains(keys, key) AND NOT (vendor = 'Souriau' AND contact IN ('H', 'J') AND class NOT IN ('J', 'M'))))"""
+
+
+_NOISY = f"""WITH {PARSED}, {FORWARD}, f AS (SELECT DISTINCT normalized, ord, vendor_pn FROM converted)
+  SELECT DISTINCT CASE ord % 3 WHEN 0 THEN vendor_pn || 'F459' WHEN 1 THEN lower(vendor_pn) ELSE replace(vendor_pn, '-', '') END AS vendor_pn FROM f"""
+
+
+@query(_reverse_sql(_NOISY))
 def convert_reverse(spark, sf_dir):
     numbers = vendor_feed(spark, sf_dir).select("vendor_pn").distinct()
     return convert.convert_reverse(numbers)
 
 
+_BOARD = rf"""WITH {PARSED}, {FORWARD}, f AS (SELECT DISTINCT normalized, ord, vendor_pn FROM converted WHERE fmt = 'prefix')
+  SELECT DISTINCT regexp_replace(replace(vendor_pn, '-', ''), 'R([A-Z]+)(\d+[A-Z]+)$', '\1' || CASE ord % 3 WHEN 0 THEN 'CI' WHEN 1 THEN 'GQ' ELSE '' END || '\2') || 'F459' AS vendor_pn FROM f"""
+
+
+@query(_reverse_sql(_BOARD))
+def convert_reverse_board(spark, sf_dir):
+    """Numbers of board variants: the crimp prefix without its R, with marks for quadrax or termination."""
+    fwd = convert_forward(spark, sf_dir).join(convert.rules(spark).where("fmt = 'prefix'").select("ord").distinct(), "ord").select("ord", "vendor_pn").distinct()
+    mark = F.when(F.col("ord") % 3 == 0, "CI").when(F.col("ord") % 3 == 1, "GQ").otherwise("")
+    body = F.replace("vendor_pn", F.lit("-"), F.lit(""))
+    made = F.regexp_replace(body, F.lit(r"R([A-Z]+)(\d+[A-Z]+)$"), F.concat(F.lit("$1"), mark, F.lit("$2")))
+    return convert.convert_reverse(fwd.select(F.concat(made, F.lit("F459")).alias("vendor_pn")).distinct())
+
+
 @query(f"""
   WITH {PARSED}, {FORWARD}, k AS (SELECT DISTINCT normalized, ord FROM converted)
   SELECT ord, count(*) AS n, count(*) AS n_back FROM k GROUP BY ord

@@ -39,7 +39,7 @@ def test_forward_golden(spark):
 
 @pytest.mark.parametrize(
     "number, pin",
-    [("TV07WCI2111PF459", None), ("DTS20Y1135PN", "D38999/21YB35PN"), ("KJA6T15W35PN", "D38999/26WD35PN"), ("8d5-15w35pn", "D38999/26WD35PN"), ("AE326WD35PN-LC", "D38999/26WD35PN")],
+    [("TV07WCI2111PF459", "D38999/24WG11PN"), ("TVP00WGQLI17-35P-LC", "D38999/20WE35PN"), ("TV06RW-9-135QZ", "D38999/26WA135QZ"), ("DTS20Y1135PN", "D38999/21YB35PN"), ("KJA6T15W35PN", "D38999/26WD35PN"), ("8d5-15w35pn", "D38999/26WD35PN"), ("AE326WD35PN-LC", "D38999/26WD35PN")],
 )
 def test_reverse_golden(spark, number, pin):
     got = {r.normalized for r in convert.convert_reverse(spark.createDataFrame([(number,)], "vendor_pn string")).collect()}
