@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partlake.functions.labels import status_of_alt, vendor_note, vendor_token
 from partlake.functions.text import strip_tags, unescape
 
 
@@ -42,6 +43,26 @@ def grid_rows(df: DataFrame, html: str, fields: list[str]) -> DataFrame:
     return wide.where(F.coalesce(*[F.nullif(F.col(f), F.lit("")) for f in fields]).isNotNull())
 
 
+def detail_rows(pages: DataFrame, id_col: str, html: str) -> DataFrame:
+    """(id, row, cage, company, country, part, note, status): the makers on a detail page, one row a control number.
+
+    Cells are ``<span id="..._ctl<row>_lbl<Field>">``, a status is the text of an image
+    ``..._ctl<row>_img<...> alt="..."``. Of cells that repeat a field the last one holds. Rows
+    without a code, a company and a part go; missing fields are empty texts.
+    """
+    cell, icon = r'<span id="[^"]*_ctl(\d+)_lbl([A-Za-z]+)">(.*?)</span>', r'<img id="[^"]*_ctl(\d+)_img[A-Za-z]*"[^>]*? alt="([^"]*)"'
+    text = F.coalesce(F.col(html), F.lit(""))
+    found = lambda p, i: F.regexp_extract_all(text, F.lit(p), i)
+    cells = F.arrays_zip(found(cell, 1).alias("row"), found(cell, 2).alias("field"), found(cell, 3).alias("value"))
+    icons = F.transform(F.arrays_zip(found(icon, 1).alias("row"), found(icon, 2).alias("value")), lambda x: F.struct(x["row"].alias("row"), F.lit("Status").alias("field"), x["value"].alias("value")))
+    flat = pages.select(F.col(id_col).alias("id"), F.posexplode(F.concat(cells, icons)).alias("pos", "c")).select("id", F.col("c.row").cast("long").alias("row"), "pos", "c.field", "c.value")
+    last = lambda f: F.coalesce(F.max_by("value", F.when(F.col("field") == f, F.col("pos"))), F.lit(""))
+    wide = flat.groupBy("id", "row").agg(*[last(f).alias(f) for f in ("CAGECode", "Company", "Country", "MfgPart", "Status")])
+    plain = {"cage": strip_tags(F.col("CAGECode")), "company": strip_tags(F.col("Company")), "country": strip_tags(F.col("Country"))}
+    wide = wide.withColumns(plain | {"part": vendor_token("MfgPart"), "note": vendor_note("MfgPart"), "status": status_of_alt(unescape("Status"))})
+    return wide.where("cage <> '' OR company <> '' OR part <> ''").select(F.col("id").alias(id_col), "row", "cage", "company", "country", "part", "note", "status")
+
+
 #: What a title says, first needle in order wins.
 MOUNTS = [
     ("wall-mount", "wall"), ("box-mount", "box"), ("jam-nut", "jam nut"), ("solder-mount", "solder"), ("weld-mount", "weld"), ("in-line", "in-line"), ("straight plug", "plug"),

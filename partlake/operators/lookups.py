@@ -25,8 +25,9 @@ def support_rows(decoded: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def supported_sources(decoded: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """(key, ``sources``): the catalogs that support each number, none for those without."""
-    met = support_rows(decoded, catalog).groupBy(key).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    """(key, ``sources``): the catalogs that support each number, none for those without. Catalog rows that ask for the same are joined once."""
+    alike = catalog.groupBy("style", "equivalent", "contacts", "keys", "source").agg(F.min("row_id").alias("row_id"))
+    met = support_rows(decoded, alike).groupBy(key).agg(F.array_sort(F.collect_set("source")).alias("sources"))
     return decoded.select(key).distinct().join(met, key, "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 

@@ -12,7 +12,7 @@ FAMILIES = [
 ]
 
 
-def recognise(df: DataFrame, col: str) -> DataFrame:
+def recognise(df: DataFrame, col: str, families: list[tuple] = FAMILIES) -> DataFrame:
     """Add ``family``, ``category`` and ``suffix`` of the first prefix in table order; null when none fits.
 
     The order of the table decides, not the length. A dozen prefixes are one chain of
@@ -21,9 +21,9 @@ def recognise(df: DataFrame, col: str) -> DataFrame:
     x = F.upper(F.regexp_replace(F.col(col), r"[\s-]+", ""))
     none = F.lit(None).cast("struct<ord:int,prefix:string,family:string,category:string>")
     hit = none
-    for o, p, fam, cat in reversed(FAMILIES):
+    for o, p, fam, cat in reversed(families):
         here = F.struct(F.lit(o).alias("ord"), F.lit(p).alias("prefix"), F.lit(fam).alias("family"), F.lit(cat).alias("category"))
-        hit = F.when(x.startswith(p), here).otherwise(hit)
+        hit = F.when(x.startswith(p.replace("-", "").replace(" ", "").upper()), here).otherwise(hit)
     df = df.withColumn("__hit", hit)
     suffix = F.when(F.col("__hit").isNotNull(), F.expr(f"substring(`{col}`, length(__hit.prefix) + 1)"))
     return df.select(*df.columns[:-1], F.col("__hit.family").alias("family"), F.col("__hit.category").alias("category"), suffix.alias("suffix"))
