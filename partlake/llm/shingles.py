@@ -12,8 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 _U = np.uint64
-_POLY = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
+_STEP = 0x9E3779B97F4A7C15
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -26,15 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers)), _POLY, np.uint64)
-        grown[0] = 1
-        _powers = np.cumprod(grown, dtype=np.uint64)
-    return _powers
-
-
 @dataclass
 class Sets:
     """Distinct shingle hashes of each text, ascending, one after the other; text i owns ``flat[ends[i-1]:ends[i]]``."""
@@ -61,7 +51,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(~blank)
     first = np.cumsum(n) - n
     off = np.arange(len(at)) - np.repeat(first, n)
-    h = np.add.reduceat((a[at].astype(np.uint64) + _U(1)) * _pow(int(n.max()))[off], first)
+    # each byte is mixed with its place before the sum: powers of a base modulo 2^64 would collide on words of a known form
+    h = np.add.reduceat(mix((a[at].astype(np.uint64) + _U(1)) + off.astype(np.uint64) * _U(_STEP)), first)
     text_end = np.cumsum([len(x) + 1 for x in raw])
     return mix(h + n.astype(np.uint64) * _U(0xD1B54A32D192ED03)), np.searchsorted(text_end, starts - 1, side="right")
 

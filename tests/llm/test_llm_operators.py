@@ -559,3 +559,12 @@ def test_language_counts_by_force():
             if g.strip() and not (n == 3 and g[1] == " "):
                 want[g] += 1
     assert got == dict(want)
+
+
+def test_words_of_a_known_form_do_not_link(spark):
+    """The Thue-Morse word and its complement collide under any polynomial hash modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    docs = spark.createDataFrame([(i, f"{w[:n]} x y z") for i, (w, n) in enumerate((w, n) for n in (1024, 2048, 4096) for w in (a, b))], "doc_id long, text string")
+    rows = ngram_join.jaccard_components(docs, k=4, num=85, den=100).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_shingles) for r in rows) == [(i, i, 1) for i in range(6)]
