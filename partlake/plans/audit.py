@@ -70,10 +70,10 @@ _KNOWN = ["W", "F", "K", "Z", "J", "AA"]
 """)
 def numbers_audited(spark, sf_dir):
     """Decoded numbers against the published pattern, by class of sheet."""
-    d = decode.decode_grammars(part_feed(spark, sf_dir).select("raw_pn").distinct()).where("sheet IS NOT NULL")
+    d = decode.decode_grammars(part_feed(spark, sf_dir).select("raw_pn").distinct())
     none = F.lit(None).cast("string")
     d = d.select(F.regexp_replace(F.upper("raw_pn"), r"\s", "").alias("pn"), "sheet", "class", "size", "contact", none.alias("key"), F.when(F.col("grammar") == "lanyard", "x").alias("lanyard"), none.alias("type"))
-    d = Scratch(spark, "audit").write(d, "decoded", keep=True)  # decoding and checking in one stage make more code than a method may hold
+    d = Scratch(spark, "audit").write(d, "decoded", keep=True).where("sheet IS NOT NULL")  # decoding and checking in one stage make more code than a method may hold
     out = audits.check_numbers(d, "pn", _KNOWN, list(R.KNOWN_CONTACT_LETTERS))
     return out.groupBy("kind", F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count("*").alias("n"))
 
