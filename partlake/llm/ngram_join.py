@@ -20,6 +20,7 @@ join a group, not the square of its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -397,9 +398,9 @@ def _link(alive: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
         else:
             pairs = _open_pairs(met.join(ahead.select("key", "head"), "key"), num, den)
         pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-        for t in tested:
-            either = t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.join(either, ["a", "b"], "left_anti")
+        # all pairs tested so far go in one join, so a pair passes once a round, not once for each round before
+        before = [t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for t in tested]
+        pairs = pairs.join(reduce(DataFrame.unionByName, before), ["a", "b"], "left_anti")
         tested.append(scratch.write(_products(pairs, alive, num, den), "products"))
         labels = _joined_labels(labels, tested[-1], scratch)
     if labels is None:
