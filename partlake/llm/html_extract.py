@@ -58,7 +58,7 @@ _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _WHITE = re.compile(r"\s+")
 
-#: Words that mark boilerplate wherever they stand in a class, id or role.
+#: Words that mark boilerplate: at the end of a name, or before a word for a container; elsewhere they are a hint only.
 BAD_WORDS = frozenset(
     "ad ads advert advertisement advertising adsbygoogle breadcrumb breadcrumbs comment comments cookie cookies copyright disqus "
     "footer gdpr masthead menu nav navbar navigation newsletter outbrain pagination popup promo sidebar sitemap sponsored taboola toolbar "
@@ -73,7 +73,10 @@ GOOD_WORDS = frozenset("article articlebody body content entry main post story t
 #: Words at the end of a name that say nothing of what it holds.
 PLAIN_WORDS = frozenset("area bar block box bottom buttons button container form group holder inner item items left links list module outer panel right row slot top unit wrap wrapper".split())
 
-IN_ARTICLE, IN_MAIN, IN_NAV, IN_HEADER, IN_FOOTER, IN_ASIDE, IN_LIST, IN_TABLE, HEADING, BAD, GOOD, INNER, DIALOG, LINK = (1 << i for i in range(14))
+#: Words at the end of a name that say what part of the thing before them it holds: ``comment-body`` is of a comment.
+PART_WORDS = frozenset("body content entry main text".split())
+
+IN_ARTICLE, IN_MAIN, IN_NAV, IN_HEADER, IN_FOOTER, IN_ASIDE, IN_LIST, IN_TABLE, HEADING, BAD, GOOD, INNER, DIALOG, LINK, HINT = (1 << i for i in range(15))
 _BITS = (
     {"article": IN_ARTICLE, "main": IN_MAIN, "nav": IN_NAV, "menu": IN_NAV, "header": IN_HEADER, "footer": IN_FOOTER, "aside": IN_ASIDE}
     | {"li": IN_LIST, "table": IN_TABLE, "dialog": DIALOG, "a": LINK}
@@ -84,18 +87,25 @@ _INNER_TAGS = IN_NAV | IN_ASIDE | IN_FOOTER | DIALOG
 
 @lru_cache(maxsize=4096)
 def name_bits(names: str) -> int:
-    """What the names in an attribute say: boilerplate, content, both or nothing."""
+    """What the names in an attribute say: boilerplate, a hint of it, content, several of these or nothing."""
     out = 0
     for name in names.split():
         words = [w.lower() for w in _WORDS.findall(name)]
-        if BAD_WORDS & set(words):
-            out |= BAD
+        known = bool(BAD_WORDS & set(words))
+        if words == ["dialog"]:
+            out |= HINT
             continue
         while len(words) > 1 and words[-1] in PLAIN_WORDS:
             words.pop()
         if words and words[-1] in BAD_HEADS:
             out |= BAD
-        elif words and words[-1] in GOOD_WORDS:
+            continue
+        last = words[-1:]
+        while known and len(words) > 1 and words[-1] in PLAIN_WORDS | PART_WORDS:
+            words.pop()
+        if known:
+            out |= BAD if words[-1] in BAD_WORDS else HINT
+        elif last and last[0] in GOOD_WORDS:
             out |= GOOD
     return out
 
@@ -123,6 +133,25 @@ class _Open:
     depth: int
     bits: int  # what this element and all around it say
     form: int
+    bad: int  # the innermost enclosing part with a bad name, -1 for none
+    inner: int  # the same, of those inside the innermost article
+
+
+@dataclass(slots=True)
+class _Part:
+    """An element whose name says boilerplate, and what the page holds in it."""
+
+    parent: int
+    inner_parent: int
+    hint: bool  # the name only hints at it
+    hidden: bool
+    inside: bool  # of an article or main part
+    sentences: int = 0  # characters of blocks in sentences
+    linked: int = 0
+    chars: int = 0
+    heads: int = 0  # first headings
+    mains: int = 0
+    articles: int = 0
 
 
 def page_blocks(page: str | None) -> list[Block]:
@@ -133,18 +162,24 @@ def page_blocks(page: str | None) -> list[Block]:
     a block around it closes; if no such end tag follows in the page, also at the next block; a
     drawing or formula at the next block anyway. A form's blocks are gone, too, unless it is
     laid around the page: it holds an article, a main part or a first heading, or over half of
-    the page's text in sentences. A form inside a form counts as part of it. Work grows with
-    the length of the page, however deep it is nested.
+    the page's text in sentences. A form inside a form counts as part of it. Names of classes
+    and ids count for what an element holds, but not where the element is the page itself
+    (``_believed``). Work grows with the length of the page, however deep it is nested.
     """
     if not page:
         return []
     stack: list[_Open] = []
-    opened: dict[str, int] = {}  # how many of each element are in the stack
+    places: dict[str, list[int]] = {}  # where each element is in the stack
+    section_at: list[int] = []
+    block_at: list[int] = []  # blocks other than paragraphs
+    parts: list[_Part] = []
+    part_of: list[tuple[int, int]] = []  # of each block
+    marks: list[tuple[str, int]] = []  # first headings, main parts and articles, and the part around each
     out: list[Block] = []
     text: list[str] = []
     linked, sections, forms, shared = 0, 0, 0, 0  # shared: sections that stayed open since the last block
     wrapping: set[int] = set()  # forms around a page
-    none = _Open("", 0, 0, 0, 0)
+    none = _Open("", 0, 0, 0, 0, -1, -1)
 
     def flush() -> None:
         nonlocal linked, shared
@@ -158,10 +193,11 @@ def page_blocks(page: str | None) -> list[Block]:
         f = [
             1.0, float(b & IN_ARTICLE > 0), float(b & (IN_MAIN | IN_ARTICLE) == IN_MAIN), float(b & IN_NAV > 0), float(b & IN_HEADER > 0),
             float(b & IN_FOOTER > 0), float(b & IN_ASIDE > 0), float(b & IN_LIST > 0), float(b & IN_TABLE > 0), float(b & HEADING > 0),
-            float(b & BAD > 0), float(b & GOOD > 0), min(1.0, n / max(1, len(t))), math.log1p(len(t.split())) / 5,
+            0.0, float(b & GOOD > 0), min(1.0, n / max(1, len(t))), math.log1p(len(t.split())) / 5,
             float(t[-1] in ".!?:;\"”»"), float(b & INNER > 0), float(b & DIALOG > 0), 1 / (1 + len(out)), 0.0,
         ]
         out.append(Block(t, top.section, top.depth, shared, top.form, f))
+        part_of.append((top.bad, top.inner))
         shared = top.depth
 
     def close(i: int) -> None:
@@ -169,8 +205,11 @@ def page_blocks(page: str | None) -> list[Block]:
         if any(x.tag in BLOCKS for x in stack[i:]):
             flush()
         for x in stack[i:]:
-            opened[x.tag] -= 1
+            places[x.tag].pop()
         del stack[i:]
+        for at in (section_at, block_at):
+            while at and at[-1] >= i:
+                at.pop()
         shared = min(shared, stack[-1].depth if stack else 0)
 
     def ends_silence(tag: str, closing: bool) -> bool:
@@ -181,7 +220,7 @@ def page_blocks(page: str | None) -> list[Block]:
         if kind in PHRASING and tag in BLOCKS:
             return True
         if closing:
-            return tag in ("body", "html") or tag in BLOCKS and tag not in inner and opened.get(tag, 0) > 0
+            return tag in ("body", "html") or tag in BLOCKS and tag not in inner and bool(places.get(tag))
         if kind in ("svg", "math") and tag in BREAKOUT and not FOREIGN & set(inner):
             return True
         return tag in BLOCKS and last_end(kind) < m.start()
@@ -193,16 +232,12 @@ def page_blocks(page: str | None) -> list[Block]:
             ends[tag] = max((x.start() for x in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
         return ends[tag]
 
-    def up_to(tags: tuple[str, ...], stop) -> int:
-        """Place of the innermost of the elements, -1 if an element of ``stop`` is further in."""
-        if not any(opened.get(t, 0) for t in tags):
-            return -1
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in stop:
-                return -1
-        return -1
+    def up_to(tags: tuple[str, ...], stop: list[int] | tuple[str, ...]) -> int:
+        """Place of the innermost of the elements, -1 if one of ``stop`` (their places, or elements) is further in."""
+        at = max((places[t][-1] for t in tags if places.get(t)), default=-1)
+        if isinstance(stop, tuple):
+            stop = [max((places[t][-1] for t in stop if places.get(t)), default=-1)]
+        return at if not stop or at >= stop[-1] else -1
 
     pos, silent = 0, None  # silent: the element, and the elements open in it
     while m := _TOKEN.search(page, pos):
@@ -255,14 +290,14 @@ def page_blocks(page: str | None) -> list[Block]:
                 text.append(" ")
             continue
         if closing:
-            at = up_to((tag,), () if tag in BLOCKS else SECTIONS)
+            at = up_to((tag,), [] if tag in BLOCKS else section_at)
             if at >= 0:
                 close(at)
             continue
-        if tag == "form" and opened.get("form", 0):
+        if tag == "form" and places.get("form"):
             continue
         if tag in ENDS_P:
-            at = up_to(("p",), BLOCKS - {"p"})
+            at = up_to(("p",), block_at)
             if at >= 0:
                 close(at)  # formatting left open in a paragraph ends with it
         if tag in SAME:
@@ -272,22 +307,31 @@ def page_blocks(page: str | None) -> list[Block]:
         if tag in BLOCKS:
             flush()
         around = stack[-1] if stack else none
-        own = _BITS.get(tag, 0)
+        own, hidden = _BITS.get(tag, 0), False
         if m[3]:
             for a in _ATTR.finditer(m[3]):
                 key = a[1].lower()
                 if key in ("class", "id", "role", "itemprop", "aria-label"):
                     own |= name_bits(a[2] or a[3] or a[4] or "")
                 elif key == "hidden" and tag in BLOCKS:
-                    own |= BAD
-        bits = around.bits | own
+                    hidden = True
+        bits, bad, inner = around.bits | own & ~(BAD | HINT), around.bad, around.inner
+        inside = bits & (IN_ARTICLE | IN_MAIN) > 0
         if tag in ("article", "main"):
             bits &= ~INNER
+            inner, inside = -1, False
             wrapping.add(around.form)
         elif tag == "h1":
+            inside = False
             wrapping.add(around.form)
-        elif bits & (IN_ARTICLE | IN_MAIN) and (own & BAD or own & _INNER_TAGS):
+        elif inside and own & _INNER_TAGS:
             bits |= INNER
+        if hidden or own & (BAD | HINT):
+            parts.append(_Part(bad, inner, not (hidden or own & BAD), hidden, inside))
+            bad = len(parts) - 1
+            inner = bad if inside else inner
+        if tag in ("h1", "main", "article"):
+            marks.append((tag, bad))
         section, depth, form = around.section, around.depth, around.form
         if tag in SECTIONS:
             sections += 1
@@ -295,22 +339,75 @@ def page_blocks(page: str | None) -> list[Block]:
         if tag == "form":
             forms += 1
             form = forms
-        stack.append(_Open(tag, section, depth, bits, form))
-        opened[tag] = opened.get(tag, 0) + 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SECTIONS:
+            section_at.append(len(stack))
+        if tag in BLOCKS and tag != "p":
+            block_at.append(len(stack))
+        stack.append(_Open(tag, section, depth, bits, form, bad, inner))
     if pos < len(page) and (silent is None or silent[0] == "head" and page[pos:].strip()):
         text.append(html_lib.unescape(page[pos:]))
     flush()
+    if parts:
+        bad, inner = _believed(parts, out, part_of, marks)
+        for b, (i, k) in zip(out, part_of):
+            b.features[_AT_BAD] = float(i >= 0 and bad[i])
+            b.features[_AT_INNER] = max(b.features[_AT_INNER], float(k >= 0 and inner[k]))
     if any(b.features[1] or b.features[2] for b in out):
         for b in out:
             b.features[-1] = 1.0 - max(b.features[1], b.features[2])
     return _without_forms(out, wrapping) if forms else out
 
 
+_AT_BAD, _AT_INNER, _AT_END, _AT_LINKS = (FEATURES.index(x) for x in ("bad name", "bad name inside article", "sentence end", "link share"))
+
+
+def _in_sentences(b: Block) -> bool:
+    return bool(b.features[_AT_END]) and b.features[_AT_LINKS] < 0.5 and len(b.text.split()) >= 8
+
+
+def _believed(parts: list[_Part], blocks: list[Block], part_of: list[tuple[int, int]], marks: list[tuple[str, int]]) -> tuple[list[bool], list[bool]]:
+    """For each part with a bad name, whether its blocks count as badly named: at all, and inside their article.
+
+    A name is not believed of an element that is the page itself: it holds the main part, or the
+    first heading and half of the page's sentences, or 4/5 of them while no article, main part
+    or first heading stands outside. A hint in an article is believed of an element without
+    sentences or with mostly links. Hidden parts are always believed. A part goes by its own
+    name and by those around it.
+    """
+    total = 0
+    for b, (i, _) in zip(blocks, part_of):
+        said = len(b.text) if _in_sentences(b) else 0
+        total += said
+        if i >= 0:
+            parts[i].sentences += said
+            parts[i].chars += len(b.text)
+            parts[i].linked += int(b.features[_AT_LINKS] * len(b.text))
+    for tag, i in marks:
+        if i >= 0:
+            x = parts[i]
+            x.heads, x.mains, x.articles = x.heads + (tag == "h1"), x.mains + (tag == "main"), x.articles + (tag == "article")
+    for x in reversed(parts):  # what stands around comes first
+        if x.parent >= 0:
+            up = parts[x.parent]
+            up.sentences, up.chars, up.linked = up.sentences + x.sentences, up.chars + x.chars, up.linked + x.linked
+            up.heads, up.mains, up.articles = up.heads + x.heads, up.mains + x.mains, up.articles + x.articles
+    bad, inner = [], []
+    for x in parts:
+        alone = x.heads + x.mains + x.articles == len(marks)
+        page = x.mains > 0 or total > 0 and (x.heads > 0 and 2 * x.sentences >= total or alone and 5 * x.sentences >= 4 * total)
+        prose = x.hint and x.inside and x.sentences > 0 and 2 * x.linked < x.chars
+        own = x.hidden or not (page or prose)
+        bad.append(own or x.parent >= 0 and bad[x.parent])
+        inner.append(x.inside and own or x.inner_parent >= 0 and inner[x.inner_parent])
+    return bad, inner
+
+
 def _without_forms(blocks: list[Block], wrapping: set[int]) -> list[Block]:
     """Blocks outside forms, or in a form that is laid around the page."""
     chars: dict[int, int] = {}
     for b in blocks:
-        if b.form and len(b.text.split()) >= 8 and b.features[FEATURES.index("sentence end")] and b.features[FEATURES.index("link share")] < 0.5:
+        if b.form and _in_sentences(b):
             chars[b.form] = chars.get(b.form, 0) + len(b.text)
     half = sum(len(b.text) for b in blocks) / 2
     kept, common = [], None
