@@ -297,12 +297,20 @@ def fit_field(texts: list[str], rounds: int = 8, rate: float = 0.3, ridge: float
                 names.setdefault(x, len(names))
     emit, move = np.zeros((len(names), 3)), np.zeros((4, 3))
     move[3, 2] = move[0, 2] = -8.0  # a secret does not start inside
-    coded = [([[names[x] for x in f] for f in feats], tags) for feats, tags in data]
+    coded = [([np.array([names[x] for x in f]) for f in feats], tags) for feats, tags in data]
     for r in range(rounds):
         step = rate / (1 + r / 3)
         for k in rng.permutation(len(coded)):
             feats, tags = coded[k]
             n = len(feats)
+            if n == 1:  # most runs are one token, whose sums are one line
+                e = emit[feats[0]].sum(axis=0) + move[3]
+                g = -np.exp(e - e.max())
+                g /= -g.sum()
+                g[tags[0]] += 1
+                emit[feats[0]] += step * g
+                move[3] += step * g
+                continue
             e = np.array([emit[f].sum(axis=0) for f in feats])
             fwd, bwd = np.zeros((n, 3)), np.zeros((n, 3))
             fwd[0] = e[0] + move[3]
