@@ -1,12 +1,13 @@
-"""Repeated byte strings by a logarithmic family of sparse suffix arrays.
+"""Repeated byte strings by a logarithmic family of sparse suffix indexes (hashed prefixes with counts, no positions).
 
 A suffix array of all bytes would be many times the corpus. Equal long strings hold
 equal anchors (see ``anchors``), so only the suffixes that start at an anchor are
 indexed, in the order of the hash of their first ``gram`` bytes: an order in which
 suffixes that agree on these bytes stand together, which is all that a scan for long
-matches needs. An array is kept as runs of equal prefixes with their number.
+matches needs. An index is kept as runs of equal prefixes with their number; it is not a
+suffix array, and matches are found again in the texts.
 
-The corpus comes in batches. A new batch gets its array, which is merge-scanned against
+The corpus comes in batches. A new batch gets its index, which is merge-scanned against
 every existing level for prefixes that occur on both sides, then becomes a level
 itself; two levels of equal rank merge into one of the next rank. With b batches there
 are at most log2(b) + 1 levels, and a suffix is rewritten as often.
