@@ -115,9 +115,14 @@ def example_parts(examples, verified, top: int = 3) -> Column:
     return F.slice(F.when(F.size(plain) > 0, plain).otherwise(rich), 1, top)
 
 
+#: The space separators of Unicode, which SQL engines trim.
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def split_batch(text) -> Column:
-    """Entries of a pasted list: split at line ends, semicolons and tabs, trimmed, blank ones dropped."""
-    return F.filter(F.transform(F.split(_c(text), r"\r?\n|;|\t"), F.trim), lambda x: x != "")
+    """Entries of a pasted list: split at line ends, semicolons and tabs, trimmed of blanks, empty ones dropped."""
+    # a lambda of one argument: ``F.trim`` itself would take an entry's number as the characters to trim
+    return F.filter(F.transform(F.split(_c(text), r"\r?\n|;|\t"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
 
 
 def canonical_json(text) -> Column:
