@@ -10,6 +10,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(c, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it: inside lambdas an expression used twice is run twice."""
+    return F.get(F.transform(F.array(_c(c)), lambda x: f(x)), F.lit(0))
+
+
 def compact(c) -> Column:
     """Upper case without white space and hyphens."""
     return F.regexp_replace(F.upper(_c(c)), r"[\s-]+", "")
@@ -151,15 +156,13 @@ def ensure_sentence(c) -> Column:
 
 
 def first_sentence(c) -> Column:
-    x = squeeze(c)
-    first = F.regexp_extract(x, r"^(.*?[.!?])(\s|$)", 1)
-    return F.when(first == "", x).otherwise(first)
+    cut = lambda x: once(F.regexp_extract(x, r"^(.*?[.!?])(\s|$)", 1), lambda first: F.when(first == "", x).otherwise(first))
+    return once(squeeze(c), cut)
 
 
 def summarize(c, limit: int) -> Column:
     """Collapsed text; beyond ``limit`` characters the first ``limit - 3``, trimmed, and three points."""
-    x = squeeze(c)
-    return F.when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x)
+    return once(squeeze(c), lambda x: F.when(F.length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 3)), F.lit("..."))).otherwise(x))
 
 
 def snake_case(c) -> Column:

@@ -153,12 +153,10 @@ def environment_sentence(note: str, scores: str, tags: str) -> Column:
     first = F.coalesce(text.first_sentence(note), F.lit(""))
     strong = F.transform(F.filter(F.coalesce(scores, F.array().cast("array<struct<name:string,score:int>>")), lambda s: s["score"] >= 4), lambda s: F.lower(text.humanize(s["name"])))
     shown = F.slice(F.array_distinct(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: text.humanize(t))), 1, 3)
-    return (
-        F.when(first != "", first)
-        .when(F.size(strong) > 0, F.concat(F.lit("The loaded data points to "), text.readable_list(strong), F.lit(" service.")))
-        .when(F.size(shown) > 0, F.concat(F.lit("Environment tags include "), text.readable_list(shown), F.lit(".")))
-        .otherwise("")
-    )
+    said = lambda before, after: lambda xs: F.when(F.size(xs) > 0, F.concat(F.lit(before), text.readable_list(xs), F.lit(after)))
+    of_scores = text.once(strong, said("The loaded data points to ", " service."))
+    of_tags = text.once(shown, said("Environment tags include ", "."))
+    return text.once(first, lambda x: F.when(x != "", x).otherwise(F.coalesce(of_scores, of_tags, F.lit(""))))
 
 
 def human_summary(style: str, shell: str, arrangement: str, contact: Column, description: str, evidence: Column, service: Column, most: int = 420) -> Column:
@@ -174,8 +172,11 @@ def human_summary(style: str, shell: str, arrangement: str, contact: Column, des
         F.when(there(arrangement), F.concat(F.lit("insert arrangement "), arrangement)).otherwise("insert arrangement is not specified"),
         F.when((told != "") & ~vague, told),
     )
-    sentences = F.array(lead, F.col(description), evidence, service, F.when(vague, nothing))
-    whole = F.filter(F.transform(F.array_compact(sentences), text.ensure_sentence), lambda s: s != "")
+    # each step is bound to a name, as an expression used twice would be worked out twice for each element
+    keyed = lambda s: F.struct(s.alias("s"), text.display_key(s).alias("k"))
+    sentences = F.filter(F.array(lead, F.col(description), evidence, service, F.when(vague, nothing)), lambda s: s.isNotNull())
+    whole = F.transform(F.filter(F.transform(sentences, lambda s: text.ensure_sentence(s)), lambda s: s != ""), keyed)
     # the first of those that are alike but for form
-    kept = F.filter(whole, lambda s, i: F.array_position(F.transform(whole, text.display_key), text.display_key(s)) == i + 1)
-    return text.summarize(F.array_join(kept, " "), most)
+    kept = lambda xs, ks: F.filter(xs, lambda x, i: F.array_position(ks, x["k"]) == i + 1)
+    joined = lambda xs: text.once(F.transform(xs, lambda x: x["k"]), lambda ks: F.array_join(F.transform(kept(xs, ks), lambda x: x["s"]), " "))
+    return text.summarize(text.once(whole, joined), most)

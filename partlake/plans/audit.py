@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from partlake import refdata as R
 from partlake.functions import labels
 from partlake.operators import audits, decode, htmlscan
+from partlake.operators.spread import spread
 from partlake.plans.labels import pick, pick_sql
 from partlake.plans.queries import _GRAMMAR_SQL, _LIST, _PIN, PARSED, distinct_parsed, query, table
 from partlake.scratch import Scratch
@@ -178,7 +179,7 @@ def human_summaries(spark, sf_dir):
     """Parts in a few sentences, at most 420 characters."""
     k, s = F.col("p_partkey"), F.col("p_size")
     pair = lambda n, v: F.struct(F.lit(n).alias("name"), F.lit(v).alias("score"))
-    p = table(spark, sf_dir, "part").select(
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
         k, s, pick(_STYLES, k % 3).alias("style"), F.when(s % 4 == 0, "").otherwise(s.cast("string")).alias("shell"),
         F.when(k % 5 == 0, "").otherwise(F.concat_ws("-", s.cast("string"), k.cast("string"))).alias("arrangement"), pick(_CONTACT, k % 3).alias("contact"), pick(_DESC, s % 3).alias("description"),
         F.when(k % 4 == 0, "Rated  for service. And more.").alias("note"), F.when(k % 4 == 1, F.array(pair("high_temp", 4), pair("emi", 5), pair("space", 3))).alias("scores"),
