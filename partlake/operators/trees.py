@@ -49,10 +49,11 @@ def walk(docs: DataFrame, id_col: str, doc: str, inherit: tuple[str, ...] = ())
     none = F.lit(None).cast("string")
     level = docs.select(
         F.col(id_col).alias("id"), F.lit(0).alias("depth"), none.alias("key"), F.lit(False).alias("listed"), none.alias("inherited"), F.try_parse_json(doc).alias("value")
-    ).where("value IS NOT NULL")
+    )
     levels = []
     while True:
-        level = scratch.write(level, "level", keep=True)
+        # texts that are no JSON go when they are read back: a filter ahead would parse every document twice
+        level = scratch.write(level, "level", keep=True).where("value IS NOT NULL")
         if level.limit(1).count() == 0:
             break
         levels.append(level)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partlake import refdata as R
 from partlake.operators import combinations, convert, dispatch, grounding, trees
+from partlake.operators.spread import spread
 from partlake.plans.queries import ORACLE, convert_forward, query, table
 
 # a leaf object, then as many objects or arrays around it as the part's number says
@@ -21,7 +22,8 @@ _WRAP = """CASE WHEN p_size % 7 < {i} THEN {d} WHEN (p_partkey + {i}) % 3 = 0 TH
 def nested_documents(spark, sf_dir) -> DataFrame:
     """(id, doc): a document a part, up to ten levels deep."""
     doc = F.expr(f"aggregate(sequence(1, 6), {_LEAF}, (d, i) -> {_WRAP.format(d='d', i='i')})")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), doc.alias("doc"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"))
+    return rows.select(F.col("p_partkey").alias("id"), doc.alias("doc"))
 
 
 _STEPS = f"x0 AS (SELECT *, {_LEAF} AS d0 FROM part), " + ", ".join(f"x{i} AS (SELECT *, {_WRAP.format(d=f'd{i - 1}', i=i)} AS d{i} FROM x{i - 1})" for i in range(1, 7))
