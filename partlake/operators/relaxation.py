@@ -65,6 +65,18 @@ def branches_served(interface: str, family: str) -> Column:
     return F.array_compact(F.array(*[F.when(serves[b], b) for b in BRANCHES]))
 
 
+def numbered_wishes(requests: DataFrame, wishes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests that wish the same are one: (``request``, wishes) of the different ones, and (own columns, ``wish``) of all.
+
+    Nulls equal each other. A wish's number is the least ``request`` that has it, so ``relax`` takes the first
+    table as its requests, and its work follows how many different wishes there are.
+    """
+    different = requests.groupBy(*wishes).agg(F.min("request").alias("request"))
+    key = F.struct(*wishes)
+    numbers = different.select(F.col("request").alias("wish"), key.alias("__key"))
+    return different, requests.withColumn("__own", key).join(numbers, F.col("__own").eqNullSafe(F.col("__key"))).drop("__own", "__key")
+
+
 def relax(requests: DataFrame, families: DataFrame, wishes: dict[str, Column], broadcast_rows: int = 100_000) -> DataFrame:
     """(request, family columns, ``depth``, ``given_up``): the families that keep most of each request's wishes.
 
