@@ -1,13 +1,17 @@
 """Drawings of connector faces: filters, crops, ticks, keys, bins and clusters of points.
 
 A drawing has some hundred shapes at most; bins and clusters depend on the order in which
-they are taken, so these two run pandas, one drawing at a time. The rest are expressions.
+they are taken, so these two run in Python: bins for many drawings a batch, clusters in pandas, one
+drawing at a time. The rest are expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,19 +73,27 @@ def merge_bins(df: DataFrame, group: str, to: int | str) -> DataFrame:
     Rows: group, bin (mean diameter), n. A merged bin's mean weighs both by their number.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        mean, n = pdf["bin"].tolist(), pdf["n"].tolist()
-        most = int(pdf[to].iloc[0]) if isinstance(to, str) else to
+    def merged(bins: list[dict], most: int) -> list[dict]:
+        mean, n = [np.nan if x["bin"] is None else x["bin"] for x in bins], [x["n"] for x in bins]
         while len(mean) > most:
             i = int(np.argmin(np.diff(mean)))
             total = n[i] + n[i + 1]
             mean[i : i + 2] = [(mean[i] * n[i] + mean[i + 1] * n[i + 1]) / total]
             n[i : i + 2] = [total]
-        return pd.DataFrame({group: pdf[group].iloc[0], "mean": mean, "n": n})
+        return [{"mean": m, "n": k} for m, k in zip(mean, n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("mean", pa.float64()), ("n", pa.int64())]))
+        for b in batches:
+            out = [merged(x, k) for x, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=[group, "bins"])
 
+    # a face is a row with an array of its bins, and a batch holds many faces: a call for each face costs more than its work
+    bins = F.array_sort(F.collect_list(F.struct(F.col("bin").isNull().alias("last"), F.col("bin").cast("double").alias("bin"), F.col("n").cast("long").alias("n"))))
+    faces = df.groupBy(group).agg(bins.alias("bins"), (F.max(to) if isinstance(to, str) else F.lit(to)).cast("int").alias("to"))
     kind = df.schema[group].dataType.simpleString()
-    return df.groupBy(group).applyInPandas(merge, f"{group} {kind}, mean double, n long")
+    out = faces.mapInArrow(run, f"`{group}` {kind}, bins array<struct<mean:double,n:long>>")
+    return out.select(group, F.explode("bins").alias("b")).select(group, "b.mean", "b.n")
 
 
 def cluster_points(df: DataFrame, group: str, share: float = 0.5) -> DataFrame:
