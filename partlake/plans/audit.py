@@ -106,6 +106,7 @@ def sources_cross_checked(spark, sf_dir):
     """Entries of another source against verified numbers and what catalogs support."""
     d, ok = distinct_parsed(spark, sf_dir), F.col("error").isNull()
     e = d.select(F.coalesce("normalized", "raw_pn").alias("number"), F.when(ok, F.col("sheet")).alias("sheet"), F.when(ok, F.col("contact")).alias("contact"), F.when(ok, F.col("key")).alias("position")).distinct()
+    e = Scratch(spark, "entries").write(e, "decoded", keep=True)  # asked for three times: the feed is parsed once
     v = e.where(F.ascii(F.right("number", F.lit(2))) % 3 == 0).select("number", F.concat(F.lit("m"), (F.length("number") % 4).cast("string")).alias("maker"))
     k, s = F.col("p_partkey"), F.col("p_size")
     letters = lambda x: F.array(*[F.lit(c) for c in x])
