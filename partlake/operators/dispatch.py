@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partlake import refdata as R
 from partlake.operators import convert, decode, rugged
+from partlake.scratch import Scratch
 
 
 def convert_any(df: DataFrame, col: str) -> DataFrame:
@@ -16,16 +17,19 @@ def convert_any(df: DataFrame, col: str) -> DataFrame:
     reverse conversion, so its joins see no others. ``error`` rows have no reading. A null
     number is an error.
     """
-    # an aggregate's output, so that the parse is not copied into filters below the shuffle
-    once = df.groupBy(F.col(col).alias("__k")).agg(F.max(col).alias(col)).drop("__k")
+    # hung on a count, so that the parse is not copied into filters below the shuffle; a max of texts would sort them
+    once = df.groupBy(F.col(col).alias("__k")).agg(F.count("*").alias("__n")).select(F.when(F.col("__n") > 0, F.col("__k")).alias(col))
     marked = rugged.recognise(once, col).select(col, F.col("family").isNotNull().alias("is_rugged"))
     parsed = decode.parse_strict(marked, col).select(col, "is_rugged", "error", "normalized")
     none = F.lit(None).cast("string")
     mode = F.when(F.col("is_rugged"), "rugged").when(F.col("error").isNull(), "standard")
-    first = parsed.withColumn("mode", mode)
+    # written, as each of the branches below would parse every number again
+    scratch = Scratch(df.sparkSession, "convert-any")
+    first = scratch.write(parsed.select(col, mode.alias("mode"), "normalized"), "parsed", keep=True)
     known = first.where("mode IS NOT NULL").select(col, "mode", F.when(F.col("mode") == "standard", F.col("normalized")).alias("normalized"), none.alias("vendor"))
     rest = first.where("mode IS NULL").select(col)
     back = convert.convert_reverse(rest.where(F.col(col).isNotNull()), col).select(col, "normalized", "vendor").distinct()
+    back = scratch.write(back, "read", keep=True)
     read = back.select(col, F.lit("vendor").alias("mode"), "normalized", "vendor")
     lost = rest.join(back, rest[col].eqNullSafe(back[col]), "left_anti").select(col, F.lit("error").alias("mode"), none.alias("normalized"), none.alias("vendor"))
     return known.unionByName(read).unionByName(lost)
