@@ -24,13 +24,13 @@ class RecentList(StatefulProcessor):
         self.cap, self.ttl_ms = cap, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "name string, at long", self.ttl_ms)
-        self.pins = handle.getListState("pins", "name string, at long", self.ttl_ms)
-        self.version = handle.getValueState("version", "n long", self.ttl_ms)
+        # one value, read and written once: each call to the store costs more than a user's rows
+        self.state = handle.getValueState("list", "names array<string>, at array<long>, pins array<string>, n long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last: dict[str, int] = {r[0]: r[1] for r in self.recent.get()}
-        pins: dict[str, int] = {r[0]: r[1] for r in self.pins.get()}
+        names, at, pinned, n = self.state.get() or ([], [], [], 0)
+        last: dict[str, int] = dict(zip(names, at))
+        pins: dict[str, int] = dict.fromkeys(pinned, 0)
         for r in rows:
             if r.pin:
                 pins.pop(r.name, None) if r.name in pins else pins.update({r.name: 0})
@@ -39,10 +39,8 @@ class RecentList(StatefulProcessor):
                 if len(last) > 64 * self.cap:  # names beyond the cap are never needed again
                     last = self._newest(last)
         last = self._newest(last)
-        self.recent.put([(n, at) for n, at in last.items()]) if last else self.recent.clear()
-        self.pins.put([(n, 0) for n in sorted(pins)]) if pins else self.pins.clear()
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
+        version = n + 1
+        self.state.update((list(last), list(last.values()), sorted(pins), version))
         names = sorted(pins) + [n for n in last if n not in pins]
         for place, name in enumerate(names or [None], 1):
             yield Row(user_id=key[0], version=version, place=place, name=name, pinned=name in pins)
